@@ -1,9 +1,312 @@
-"""The queries by name, and SQL for them."""
+"""The queries by name over the tables of a folder, and SQL for those that SQL can state.
 
+The tables are no question papers: documents stand for records and files, order lines for dated records of a topic, events for answers of a quiz.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import files, questions, quiz, search, segment, topics
+
+QUERY = "the apache license of that trash and pathetic clown"
+VOCABULARY = {
+    "mathematics": {"angles": ["tan", "sin"], "logs": ["log"]},
+    "physics": {"waves": ["wave", "heat"], "force": ["force", "ering"]},
+    "chemistry": {"ions": ["ion", "acid"], "states": ["ung", "ment"]},
+    "biology": {"cells": ["cell", "cula"], "genes": ["gene", "eau"]},
+}
+LABELS = {"ions": ("ion", "keit"), "ends": ("ment", "mente"), "rare": ("trash", "scum"), "license": ("license",)}
+PATTERNS = ("trash", "license", "cell", "ungzu", "ion", "zzzz")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def _files(spark, d):
+    """Documents as files: half of them loose, half in archives, with marks of copies in some names."""
+    i = F.col("doc_id")
+    ext = F.when(i % 4 == 0, ".doc").otherwise(".docx")
+    name = F.concat(F.when(i % 5 == 0, "Copy of ").otherwise(""), F.lit("d"), i.cast("string"), F.when(i % 3 == 0, " (2)").otherwise(""), ext)
+    return _docs(spark, d).select(
+        F.sha2("text", 256).alias("sha256"), name.alias("filename"), ext.alias("extension"), F.col("n_chars").alias("size_bytes"), F.concat("source", F.lit("/"), name).alias("relative_path"), i.alias("ord"), (i % 2).alias("half")
+    )
+
+
+FILES_SQL = """
+files as (
+  select *, source || '/' || filename as relative_path from (
+    select doc_id as ord, doc_id % 2 as half, source, n_chars as size_bytes, sha256(text) as sha256,
+           case when doc_id % 4 = 0 then '.doc' else '.docx' end as extension,
+           (case when doc_id % 5 = 0 then 'Copy of ' else '' end) || 'd' || doc_id || (case when doc_id % 3 = 0 then ' (2)' else '' end)
+             || (case when doc_id % 4 = 0 then '.doc' else '.docx' end) as filename
+    from documents)),
+candidates as (
+  select sha256, 'loose_file' as source_type, filename, extension, size_bytes, relative_path as source_path, ord from files where half = 0
+  union all
+  select sha256, 'archive_member', filename, extension, size_bytes, 'a.zip::' || relative_path, 1000000000 + ord from files where half = 1),
+scored as (
+  select *, (case when source_type = 'archive_member' then 10 else 0 end) + (case when extension = '.doc' then 2 else 0 end)
+    + (case when contains(lower(source_path), 'copy of') then 10 else 0 end)
+    + (case when contains(lower(filename), '(2)') or contains(lower(filename), '(3)') or contains(lower(filename), '(4)') then 5 else 0 end) as score
+  from candidates),
+scored_files as (
+  select *, (case when contains(lower(relative_path), 'copy of') then 10 else 0 end)
+    + (case when contains(lower(filename), '(2)') then 5 else 0 end) + (case when starts_with(lower(filename), 'copy') then 5 else 0 end)
+    + (case when extension = '.doc' then 2 else 0 end) as score
+  from files)
+"""
+
+
+def _candidates(spark, d):
+    f = _files(spark, d)
+    loose = files.loose_candidates(f.where("half = 0").withColumn("relative_path", F.col("relative_path")))
+    loose = loose.withColumn("ord", F.regexp_extract("filename", "d(\\d+)", 1).cast("long"))
+    inside = files.archive_candidates(f.where("half = 1").select(F.lit("a.zip").alias("archive"), F.col("relative_path").alias("member_path"), "extension", "size_bytes", "sha256"))
+    return loose.unionByName(inside.withColumn("ord", F.regexp_extract("filename", "d(\\d+)", 1).cast("long") + 1000000000))
+
+
+def _records(spark, d):
+    """Documents as question records: the language is the type, the source the answer, blank for some."""
+    i = F.col("doc_id")
+    return _docs(spark, d).select(
+        i.cast("string").alias("question_id"), F.col("lang").alias("question_type"), F.col("text").alias("question_text"),
+        F.when(i % 7 == 0, F.lit(None)).when(i % 11 == 0, " ").otherwise(F.col("source")).cast("string").alias("answer"), F.when(i % 3 == 0, "s").cast("string").alias("solution"),
+        F.struct((2000 + i % 3).cast("int").alias("year"), F.lit(None).cast("int").alias("contest"), F.lit(None).cast("string").alias("round"), F.col("lang").alias("subject")).alias("metadata"),
+        F.struct(i.cast("string").alias("document_id"), F.lit(1).alias("start_block"), F.lit(1).alias("end_block")).alias("source"), i.alias("ord"),
+    )
+
+
+#: Text of the same form as normalize() gives, for text without characters that only compatibility normalisation changes.
+_NORM = "trim(regexp_replace(regexp_replace(translate(lower(nfc_normalize({})), '–—−', '---'), '\\s+', ' ', 'g'), '\\s*([,.;:!?()\\[\\]{{}}=+\\-*/<>])\\s*', '\\1', 'g'))"
+RECORDS_SQL = (
+    "records as (select doc_id as ord, lang, text, case when doc_id % 7 = 0 then null when doc_id % 11 = 0 then ' ' else source end as answer, doc_id % 3 = 0 as solved, "
+    + _NORM.format("text") + " as norm from documents), "
+    "prepared as (select *, sha256(lang || chr(10) || norm) as fp, case when answer is not null then " + _NORM.format("answer") + " end as norm_answer from records)"
+)
+
+
+def _prepared(spark, d):
+    return questions.prepared(_records(spark, d))
+
+
+def _dated(spark, d):
+    """Order lines as records: the brand is the topic, the year that of the order."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("topic"), "p_type")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    x = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return x.select("topic", "year", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+
+
+DATED_SQL = "dated as (select p_brand as topic, year(o_orderdate) as year, l_orderkey * 10 + l_linenumber as ord from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey)"
+PROFILE_SQL = DATED_SQL + """, latest as (select max(year) as y from dated), profile as (
+  select topic, count(*) as frequency, list_sort(list(distinct year)) as ys, count(distinct year) as recurrence,
+         count(distinct case when year >= y - 3 then year end) as recent_years, min(ord) as first,
+         round(ln(1 + count(*)) + count(distinct year) + 1.5 * count(distinct case when year >= y - 3 then year end), 3) as forecast_score
+  from dated, latest group by topic)"""
+
+
+def _answers(spark, d, least=30):
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").cast("string").alias("topic"), (F.coalesce(F.col("value"), F.lit(0)) >= least).alias("correct"))
+
+
+def profile_rows(p: DataFrame) -> DataFrame:
+    return p.select("topic", "frequency", F.array_join(F.transform("years_seen", lambda y: y.cast("string")), ",").alias("years"), "recurrence", "recent_years", "forecast_score")
+
+
+def _lines(spark, d):
+    return segment.text_lines(_docs(spark, d))
+
+
+SAMPLE_LINES = [
+    "CONTEST 4", "PRE C 4 ROUND 2", "ROUND 1", "PHYSICS", "1. What is x?", "ANSWER: 5", "Round 3b: Speed Race", "12 V battery", "1.What", "e.g. iron", "b)x", "Arrange the ions", "A ball falls",
+    "a) first part", "ANS = 3", "SOLUTION: s", "ROUND 5: RIDDLES", "Who am I?", "ROUND 4: TRUE OR FALSE", "Consider gases.", "Maths 2", "Preamble: p", "Question. Find x", "ROUND 1 - x", "Round 6", "Speed Race", "more text", "Find y",
+]
+LINES_SQL = "lines as (select * from (values " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(SAMPLE_LINES, 1)) + ") t(block, text))"
+
+
+def _sample_lines(spark):
+    return spark.createDataFrame(list(enumerate(SAMPLE_LINES, 1)), "block int, text string").withColumn("document_id", F.lit("sample")).withColumn("images", F.expr(f"cast(array() as {segment.IMAGES})"))
+
+
+def _tokens_sql(column="text"):
+    return f"regexp_extract_all(lower({column}), '[a-z0-9]+(?:[''’\\-][a-z0-9]+)*')"
+
+
+BM25_SQL = f"""
+with tok as (select doc_id, lang, {_tokens_sql()} as t from documents),
+size_of as (select doc_id, lang, len(t) as dl from tok), stats as (select count(*) as n, avg(dl) as avgdl from size_of),
+want as (select distinct unnest({_tokens_sql("'" + QUERY + "'")}) as term),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from tok) join want using (term) group by all),
+df as (select term, count(*) as df from tf group by term),
+scored as (select doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))) as score
+           from tf join df using (term) join size_of using (doc_id), stats group by doc_id)
+select doc_id, round(score, 6) as score from scored {{where}} order by round(scored.score, 9) desc, doc_id limit 20"""
+
+_L = "(?i)"
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def found(df):
+        return df.select("doc_id", F.round("score", 6).alias("score"))
+
+    def index(s, d):
+        return search.postings(_docs(s, d), "doc_id", F.col("text"))
+
+    def keyword_path(s, d):
+        return F.concat_ws(" ", "source", "text")
+
+    def scored_topics(s, d):
+        subject = topics.subject_of(F.lit(None).cast("string"), F.col("text"), VOCABULARY)
+        return _docs(s, d).select("doc_id", subject.alias("subject"), "text").select("doc_id", "subject", topics.topic_scores(F.col("subject"), F.col("text"), VOCABULARY).alias("scores"))
+
+    def samples(s, d):
+        patterns = s.createDataFrame([(p, k) for k, p in enumerate(PATTERNS)], "pattern string, rank int")
+        docs = _docs(s, d).select("doc_id", "text", F.col("doc_id").alias("ord"))
+        return files.best_per_pattern(docs, F.lower("text"), patterns, files.sample_score(F.concat_ws(" ", "text"), bad=("ung",), good=("ion", "eau"))).select("pattern", "rank", "doc_id")
+
+    def grades(s, d):
+        e = table(s, d, "events")
+        return e.select("event_id", quiz.is_correct(F.concat(F.lit(" "), F.upper("event_type")), F.element_at(F.array(*map(F.lit, ("click", "view", "purchase"))), (F.col("event_id") % 3 + 1).cast("int"))).alias("correct"))
+
+    def classes(s, d):
+        c = T.clean(F.col("text"))
+        f = segment.L.v2_fields(F.col("text"))
+        return _sample_lines(s).select("block", segment.L.v1_kind(c).alias("v1_kind"), f["is_round"].alias("is_round"), f["round"].alias("round"), f["round_contest"].alias("round_contest"), f["round_section"].alias("section"), f["contest"].alias("contest"), f["subject"].alias("subject"), f["item_number"].alias("item_number"), f["item_text"].alias("item_text"), f["answer"].alias("answer"), f["solution"].alias("solution"))
+
+    def flat_v1(s, d):
+        x = segment.segment_v1(_lines(s, d).unionByName(_sample_lines(s)))
+        return x.select("question_id", "metadata.contest", "metadata.round", "metadata.subject", "metadata.section_type", "preamble", "question_text", "answer", "solution", "source.start_block", "source.end_block")
+
+    def flat_v2(s, d):
+        x = segment.flatten_v2(segment.segment_v2(_lines(s, d).unionByName(_sample_lines(s))))
+        return x.select("question_id", "question_type", "metadata.contest", "metadata.round", "metadata.subject", "prompt", "question_text", "answer", "solution", "source.start_block", "source.end_block")
+
+    return {
+        "bm25_search": lambda s, d: found(search.search(_docs(s, d), "doc_id", F.col("text"), QUERY, 20)),
+        "bm25_search_filtered": lambda s, d: found(search.search(_docs(s, d), "doc_id", F.col("text"), QUERY, 20, F.col("lang") == "en")),
+        "bm25_from_index": lambda s, d: found(search.scores_from_index(index(s, d), search.lengths(_docs(s, d), "doc_id", F.col("text")), "doc_id", QUERY).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(20)),
+        "term_freq": lambda s, d: index(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("most")),
+        "doc_freq": lambda s, d: search.document_frequency(index(s, d)),
+        "corpus_stats": lambda s, d: search.corpus_stats(search.lengths(_docs(s, d), "doc_id", F.col("text"))).withColumn("avgdl", F.round("avgdl", 6)),
+        "tokenize": lambda s, d: _docs(s, d).select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens")),
+        "clean_text": lambda s, d: _docs(s, d).select("doc_id", T.clean(F.col("text")).alias("clean")),
+        "normalize_text": lambda s, d: _docs(s, d).select("doc_id", T.normalize(F.col("text")).alias("norm")),
+        "fingerprint": lambda s, d: _docs(s, d).select("doc_id", T.fingerprint(F.col("lang"), F.col("text")).alias("fp")),
+        "question_dedup": lambda s, d: questions.canonical_questions(_prepared(s, d)).select("question_fingerprint", "question_id", "duplicate_count", F.size("metadata_variants").alias("metadata_variants"), "solution_count", F.array_join(F.transform("sources", lambda x: x["question_id"]), ",").alias("sources"), F.array_join(F.transform("answer_variants", lambda x: F.concat_ws("=", x["answer"], x["count"].cast("string"))), ",").alias("answers")),
+        "duplicate_report": lambda s, d: questions.duplicate_report(questions.canonical_questions(_prepared(s, d))).select("question_fingerprint", "count", "question_type"),
+        "answer_variants": lambda s, d: questions.answer_variants(_prepared(s, d)).select("question_fingerprint", "answer", "n"),
+        "answer_conflicts": lambda s, d: questions.answer_conflicts(_prepared(s, d)),
+        "dedup_summary": lambda s, d: questions.dedup_summary(_prepared(s, d)),
+        "corpus_order": lambda s, d: questions.in_corpus_order(questions.usable(_records(s, d))).select("question_id").limit(50),
+        "inventory_union": lambda s, d: _candidates(s, d).groupBy("source_type", "extension").agg(F.count(F.lit(1)).alias("n")),
+        "unified_corpus": lambda s, d: files.unified_corpus(_candidates(s, d)),
+        "cross_source_duplicates": lambda s, d: files.cross_source_duplicates(_candidates(s, d)),
+        "duplicate_files": lambda s, d: files.duplicate_files(_files(s, d)).select("sha256", "duplicate_count", "filename", "relative_path", "canonical"),
+        "canonical_files": lambda s, d: files.canonical_files(_files(s, d)),
+        "ext_counts": lambda s, d: files.frequency(_files(s, d), "extension").select("extension", "n"),
+        "size_total": lambda s, d: files.totals(_files(s, d)),
+        "largest_files": lambda s, d: files.largest(_files(s, d)).select("relative_path", "size_bytes", T.format_bytes(F.col("size_bytes") * 1000).alias("shown")),
+        "hash_groups": lambda s, d: files.hash_groups(_files(s, d)),
+        "largest_groups": lambda s, d: files.largest_groups(_files(s, d)).select("sha256", "n", F.array_join("paths", "|").alias("paths")),
+        "year_hist": lambda s, d: files.year_histogram(table(s, d, "orders"), F.concat_ws(" ", F.col("o_orderdate").cast("string"), F.lit("nsmq2020 x_2019 1999"))),
+        "keyword_label_counts": lambda s, d: files.label_counts(_docs(s, d), F.col("text"), LABELS),
+        "reference_candidates": lambda s, d: files.reference_candidates(_docs(s, d), F.col("text"), ("apache", "license")).select("doc_id"),
+        "competition_hints": lambda s, d: files.competition_hints(_docs(s, d), F.concat_ws(" ", "source", "text")),
+        "sample_per_key": samples,
+        "subject_of": lambda s, d: _docs(s, d).select("doc_id", topics.subject_of(F.when(F.col("doc_id") % 9 == 0, F.upper("lang")), F.col("text"), VOCABULARY).alias("subject")),
+        "topic_scores": lambda s, d: scored_topics(s, d).select("doc_id", F.explode("scores").alias("x")).select("doc_id", "x.topic", "x.score"),
+        "primary_topic": lambda s, d: scored_topics(s, d).select("doc_id", topics.primary_topic(F.col("scores")).alias("topic")),
+        "pattern_profile": lambda s, d: profile_rows(topics.top_profile(topics.pattern_profile(_dated(s, d)), 100)),
+        "forecast_examples": lambda s, d: topics.forecast_examples(_dated(s, d), topics.pattern_profile(_dated(s, d))).select("topic", "topic_rank", "example", "year", "ord"),
+        "quiz_score": lambda s, d: quiz.score(_answers(s, d)).withColumn("percent", F.round("percent", 6)),
+        "topic_performance": lambda s, d: quiz.topic_performance(_answers(s, d)).withColumn("percent", F.round("percent", 6)),
+        "weak_topics": lambda s, d: quiz.weak_topics(_answers(s, d)).select("topic", "correct", "total"),
+        "grade_answers": grades,
+        "quiz_progress": lambda s, d: quiz.progress(table(s, d, "events").select("event_id", "user_id"), "user_id", "event_id"),
+        "json_rescue": lambda s, d: table(s, d, "events").select("event_id", T.rescue_json(F.concat(F.lit("Here: "), "props", F.lit(" done"))).isNotNull().alias("found")),
+        "line_classify": classes,
+        "doc_block_stats": lambda s, d: _lines(s, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("lines"), F.max("block").alias("last_block")),
+        "segment_v1": flat_v1,
+        "segment_v2": flat_v2,
+        "segment_stats": lambda s, d: segment.segment_stats(segment.segment_v2(_lines(s, d))),
+    }
+
+
+def _score_sql(name, words):
+    return f"(case when contains(t, '{words[0]}') then 1 else 0 end) + (case when contains(t, '{words[1]}') then 1 else 0 end)" if len(words) > 1 else f"(case when contains(t, '{words[0]}') then 1 else 0 end)"
+
+
+def oracle_sql() -> dict[str, str]:
+    any_of = lambda words: " or ".join(f"contains(t, '{w}')" for w in words)
+    subject = "case " + " ".join(f"when {any_of([w for ws in ts.values() for w in ws])} then '{s}'" for s, ts in VOCABULARY.items()) + " end"
+    clean = "low as (select doc_id, lang, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from documents)"
+    scored = "scored as (" + " union all ".join(f"select doc_id, '{topic}' as topic, {_score_sql(topic, words)} as score, {k} as rank from subj where subject = '{s}'" for k, (s, topic, words) in enumerate((s, t, w) for s, ts in VOCABULARY.items() for t, w in ts.items())) + ")"
+    subj = f"subj as (select doc_id, t, {subject} as subject from low)"
+    canon = "canon as (select fp, count(*)::int as n, arg_max(ord, (case when coalesce(answer, '') <> '' then 1 else 0 end, case when solved then 1 else 0 end, length(text), -ord)) as best, count(*) filter (where solved) as solved, count(distinct ord % 3) as variants, string_agg(ord, ',' order by ord) as sources, any_value(lang) as lang from prepared group by fp)"
+    variants = "variants as (select fp, norm_answer as answer, count(*) as n, min(ord) as first from prepared where norm_answer <> '' group by all)"
+    item = lambda g: f"case when regexp_matches(text, '^\\s*(\\d+)[\\.\\)]?\\s+(.+)$') then regexp_extract(text, '^\\s*(\\d+)[\\.\\)]?\\s+(.+)$', {g}) when regexp_matches(text, '(?i)^\\s*([a-z])[\\.\\)]\\s*(.+)$') then {'lower' if g == 1 else ''}(regexp_extract(text, '(?i)^\\s*([a-z])[\\.\\)]\\s*(.+)$', {g})) end"
+    rnd = "(?i)^\\s*(?:PRE\\s*C\\s*(\\d+)\\s+)?ROUND\\s+([1-5](?:[A-Z])?)(?:\\s*:\\s*(.*))?\\s*$"
+    starters = "|".join(segment.L.STARTERS.split())
+    special = "(?i)^\\s*(speed\\s*race|true\\s+or\\s+false|riddles?|problem\\s+of\\s+the\\s+day)\\b"
+    pattern_values = ", ".join(f"('{p}', {k})" for k, p in enumerate(PATTERNS))
+    return {
+        "bm25_search": BM25_SQL.format(where=""),
+        "bm25_search_filtered": BM25_SQL.format(where="join documents using (doc_id) where lang = 'en'"),
+        "bm25_from_index": BM25_SQL.format(where=""),
+        "term_freq": f"select doc_id, count(*) as terms, sum(tf)::bigint as tokens, max(tf) as most from (select doc_id, term, count(*) as tf from (select doc_id, unnest({_tokens_sql()}) as term from documents) group by all) group by doc_id",
+        "doc_freq": f"select term, count(distinct doc_id) as df from (select doc_id, unnest({_tokens_sql()}) as term from documents) group by term",
+        "corpus_stats": f"select count(*) as n_docs, round(avg(len({_tokens_sql()})), 6) as avgdl from documents",
+        "tokenize": f"select doc_id, array_to_string({_tokens_sql()}, ' ') as tokens from documents",
+        "clean_text": "select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as clean from documents",
+        "normalize_text": f"select doc_id, {_NORM.format('text')} as norm from documents",
+        "fingerprint": f"select doc_id, sha256(lang || chr(10) || {_NORM.format('text')}) as fp from documents",
+        "question_dedup": f"with {RECORDS_SQL}, {canon}, {variants}, listed as (select fp, string_agg(answer || '=' || n, ',' order by n desc, first) as answers from variants group by fp) select fp as question_fingerprint, best::varchar as question_id, n as duplicate_count, variants::int as metadata_variants, solved::int as solution_count, sources, coalesce(answers, '') as answers from canon left join listed using (fp)",
+        "duplicate_report": f"with {RECORDS_SQL}, {canon} select fp as question_fingerprint, n as count, lang as question_type from canon where n > 1",
+        "answer_variants": f"with {RECORDS_SQL}, {variants} select fp as question_fingerprint, answer, n from variants",
+        "answer_conflicts": f"with {RECORDS_SQL} select fp as question_fingerprint, count(distinct norm_answer) as answers from prepared group by fp having count(distinct norm_answer) > 1",
+        "dedup_summary": f"with {RECORDS_SQL}, g as (select fp, count(*) as n from prepared group by fp) select sum(n)::bigint as records, count(*) as unique_questions, count(*) filter (where n > 1) as duplicate_groups, sum(n - 1)::bigint as removed from g",
+        "corpus_order": "select doc_id::varchar as question_id from documents where length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 10 order by 2000 + doc_id % 3, lang, text, doc_id::varchar limit 50",
+        "inventory_union": f"with {FILES_SQL} select source_type, extension, count(*) as n from candidates group by all",
+        "unified_corpus": f"with {FILES_SQL} select sha256, arg_min(source_type, (score, ord)) as canonical_source_type, arg_min(filename, (score, ord)) as canonical_filename, arg_min(extension, (score, ord)) as canonical_extension, arg_min(source_path, (score, ord)) as canonical_path, arg_min(size_bytes, (score, ord)) as size_bytes, count(*) as source_count, string_agg(source_path, ' | ' order by source_path) as all_sources from scored group by sha256",
+        "cross_source_duplicates": f"with {FILES_SQL}, g as (select sha256, count(*) as source_count from candidates group by sha256 having count(distinct source_type) > 1) select sha256, source_count, source_type, filename, extension, source_path from candidates join g using (sha256)",
+        "duplicate_files": f"with {FILES_SQL}, g as (select sha256, count(*) as duplicate_count, arg_min(ord, (score, ord)) as best from scored_files group by sha256 having count(*) > 1) select sha256, duplicate_count, filename, relative_path, ord = best as canonical from files join g using (sha256)",
+        "canonical_files": f"with {FILES_SQL} select sha256, arg_min(relative_path, (score, ord)) as canonical_path, arg_min(extension, (score, ord)) as canonical_extension, count(*) as duplicate_count from scored_files group by sha256",
+        "ext_counts": f"with {FILES_SQL} select extension, count(*) as n from files group by extension",
+        "size_total": "select count(*) as n, sum(n_chars)::bigint as bytes from documents",
+        "largest_files": f"with {FILES_SQL} select relative_path, size_bytes, case when size_bytes * 1000 < 1024 then printf('%.2f B', size_bytes * 1000.0) when size_bytes * 1000 < 1048576 then printf('%.2f KB', size_bytes * 1000 / 1024.0) else printf('%.2f MB', size_bytes * 1000 / 1048576.0) end as shown from files order by size_bytes desc, ord limit 20",
+        "hash_groups": "select sha256(text) as sha256, count(*) as n from documents group by 1 having count(*) > 1",
+        "largest_groups": f"with {FILES_SQL}, g as (select sha256, count(*) as n, min(ord) as first from files group by sha256 having count(*) > 1 order by n desc, first limit 10), r as (select sha256, n, relative_path, row_number() over (partition by sha256 order by ord) as r from files join g using (sha256)) select sha256, n, string_agg(relative_path, '|' order by r) as paths from r where r <= 5 group by all",
+        "year_hist": "select year, count(*) as n from (select unnest(list_distinct(list_concat(regexp_extract_all(cast(o_orderdate as varchar), '\\b(?:19|20)\\d{2}\\b'), ['1999']))) as year from orders) group by year",
+        "keyword_label_counts": "with low as (select lower(text) as t from documents) " + " union all ".join(f"select '{k}' as label, count(*) as n from low where {any_of(v)}" for k, v in LABELS.items()),
+        "reference_candidates": "select doc_id from documents where contains(lower(text), 'apache') or contains(lower(text), 'license')",
+        "competition_hints": "with low as (select lower(source || ' ' || text) as t from documents) select count(*) filter (where contains(t, 'nsmq') or contains(t, 'smq')) as quiz, count(*) filter (where contains(t, 'sharks')) as sharks, count(*) filter (where contains(t, 'shark')) as shark from low",
+        "sample_per_key": f"with p(pattern, rank) as (values {pattern_values}), low as (select doc_id, lower(text) as t from documents), hits as (select pattern, rank, doc_id, row_number() over (partition by pattern order by (case when contains(t, 'ung') then -100 else 0 end) + (case when contains(t, 'ion') then 10 else 0 end) + (case when contains(t, 'eau') then 10 else 0 end) desc, doc_id) as r from p join low on contains(t, pattern)), best as (select *, row_number() over (partition by doc_id order by rank) as again from hits where r = 1) select pattern, rank::int as rank, doc_id from best where again = 1",
+        "subject_of": f"with {clean} select doc_id, case when doc_id % 9 = 0 then lang else {subject} end as subject from low",
+        "topic_scores": f"with {clean}, {subj}, {scored} select doc_id, topic, score::int as score from scored where score > 0",
+        "primary_topic": f"with {clean}, {subj}, {scored} select doc_id, coalesce(arg_max(topic, (score, -rank)) filter (where score > 0), 'unknown') as topic from low left join scored using (doc_id) group by doc_id",
+        "pattern_profile": f"with {PROFILE_SQL} select topic, frequency, array_to_string(ys, ',') as years, recurrence::int as recurrence, recent_years::int as recent_years, forecast_score from profile",
+        "forecast_examples": f"with {PROFILE_SQL}, best as (select topic, row_number() over (order by forecast_score desc, first) as topic_rank from profile order by forecast_score desc, first limit 5), r as (select topic, topic_rank, year, ord, row_number() over (partition by topic order by year desc, ord) as example from dated join best using (topic)) select topic, topic_rank::int as topic_rank, example::int as example, year::int as year, ord from r where example <= 2",
+        "quiz_score": "select count(*) filter (where coalesce(value, 0) >= 30) as score, count(*) as total, round(100.0 * count(*) filter (where coalesce(value, 0) >= 30) / count(*), 6)::double as percent, case when 100.0 * count(*) filter (where coalesce(value, 0) >= 30) / count(*) >= 80 then 'excellent' when 100.0 * count(*) filter (where coalesce(value, 0) >= 30) / count(*) >= 60 then 'solid' else 'more practice' end as message from events",
+        "topic_performance": "select user_id::varchar as topic, count(*) filter (where coalesce(value, 0) >= 30) as correct, count(*) as total, round(100.0::double * count(*) filter (where coalesce(value, 0) >= 30) / count(*), 6) as percent, case when 100.0 * count(*) filter (where coalesce(value, 0) >= 30) / count(*) >= 80 then 'green' when 100.0 * count(*) filter (where coalesce(value, 0) >= 30) / count(*) >= 60 then 'amber' else 'red' end as band from events group by user_id",
+        "weak_topics": "select user_id::varchar as topic, count(*) filter (where coalesce(value, 0) >= 30) as correct, count(*) as total from events group by user_id having 100.0 * count(*) filter (where coalesce(value, 0) >= 30) / count(*) < 60",
+        "grade_answers": "select event_id, lower(event_type) = (['click', 'view', 'purchase'])[event_id % 3 + 1] and event_type <> '' as correct from events",
+        "quiz_progress": "select event_id, user_id, row_number() over (partition by user_id order by event_id)::int as number, count(*) over (partition by user_id) as \"of\" from events",
+        "json_rescue": "select event_id, coalesce(json_valid(regexp_extract(props, '\\{.*\\}')), false) as found from events",
+        "line_classify": f"with {LINES_SQL} select block, case when regexp_matches(text, '(?i)^\\s*round\\s*([1-5])(?:\\s*[:\\-]?\\s*(.*))?$') then 'ROUND' when regexp_matches(text, '(?i)^\\s*contest\\s+(\\d+)\\s*([a-z])?\\s*$') then 'CONTEST' when regexp_matches(text, '{special}') then 'SPECIAL' when regexp_matches(text, '(?i)^\\s*(biology|chemistry|mathematics|maths|physics)\\s*(\\d+)?\\s*$') then 'SUBJECT' when regexp_matches(text, '(?i)^\\s*preamble\\s*[:=\\-]?\\s*(.*)$') then 'PREAMBLE' when regexp_matches(text, '(?i)^\\s*solution\\s*[:=\\-]?\\s*(.*)$') then 'SOLUTION' when regexp_matches(text, '(?i)^\\s*(answer|ans|a)\\s*[:\\.\\-]?\\s*(.*)$') then 'ANSWER' when regexp_matches(text, '(?i)^\\s*(q\\.|question\\s*[:.]|\\d+[\\).\\:]?)\\s+') or ends_with(text, '?') or regexp_matches(lower(text), '^(?:{starters}) ') then 'Q' else 'OTHER' end as v1_kind, "
+        f"regexp_matches(text, '{rnd}') as is_round, nullif(upper(regexp_extract(text, '{rnd}', 2)), '') as round, nullif(regexp_extract(text, '{rnd}', 1), '')::int as round_contest, case when contains(lower(regexp_extract(text, '{rnd}', 3)), 'speed race') then 'speed_race' when contains(lower(regexp_extract(text, '{rnd}', 3)), 'riddle') then 'riddle' when contains(lower(regexp_extract(text, '{rnd}', 3)), 'true or false') then 'true_false' end as section, "
+        f"nullif(regexp_extract(text, '(?i)^\\s*CONTEST\\s+(\\d+)([A-Z])?\\s*$', 1), '')::int as contest, case lower(regexp_extract(text, '(?i)^\\s*(BIOLOGY|CHEMISTRY|PHYSICS|MATHEMATICS|MATHS)(?:\\s+\\d+)?\\s*$', 1)) when '' then null when 'maths' then 'mathematics' else lower(regexp_extract(text, '(?i)^\\s*(BIOLOGY|CHEMISTRY|PHYSICS|MATHEMATICS|MATHS)(?:\\s+\\d+)?\\s*$', 1)) end as subject, {item(1)} as item_number, {item(2)} as item_text, "
+        "case when regexp_matches(text, '(?i)^\\s*(?:ANSWER|ANS|A)\\s*[:=\\-\\.]?\\s*(.*)$') then regexp_extract(text, '(?i)^\\s*(?:ANSWER|ANS|A)\\s*[:=\\-\\.]?\\s*(.*)$', 1) end as answer, case when regexp_matches(text, '(?i)^\\s*SOLUTION\\s*[:=\\-\\.]?\\s*(.*)$') then regexp_extract(text, '(?i)^\\s*SOLUTION\\s*[:=\\-\\.]?\\s*(.*)$', 1) end as solution from lines",
+        "doc_block_stats": "with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as k from documents) select doc_id::varchar as document_id, count(*) as lines, max(k)::int as last_block from l where trim(regexp_replace(t, '\\s+', ' ', 'g')) <> '' group by doc_id",
+    }
