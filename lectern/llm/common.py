@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,23 @@ def maybe_among(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     return flag_among(df, column, bits, "__maybe").where("__maybe").drop("__maybe")
 
 
+def spanning_edges(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that it reaches) for the other nodes of the links u-v: as many edges as nodes, with the same components."""
+    names, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    low = np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, u, low[v])
+        np.minimum.at(new, v, new[u])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    far = low != np.arange(len(names))
+    return names[far], names[low[far]]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the smallest node that can be reached.
 

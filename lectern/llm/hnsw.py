@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import connected_components, materialise
+from lectern.llm.common import connected_components, materialise, spanning_edges
 
 SHARD = 16_384  # vectors of a graph
 BLOCK = 512  # vectors that query a graph together
@@ -289,21 +289,8 @@ def _query(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
             if int(qid[k]) in at:
                 n[k] += ids[at[int(qid[k])], 1]
         out.append(pd.DataFrame({"a": qid, "n": pd.array(n, dtype="Int64"), "b": pd.array([None] * len(qid), dtype="Int64")}))
-        # Smallest reachable id over the links of this block, until nothing changes: edges to it span each linked group.
-        left, right = qid[a], ids[b, 0]
-        names, at_ = np.unique(np.concatenate((left, right)), return_inverse=True)
-        u, v = at_[: len(left)], at_[len(left) :]
-        low = np.arange(len(names))
-        while True:
-            new = low.copy()
-            np.minimum.at(new, u, low[v])
-            np.minimum.at(new, v, new[u])
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
-        far = low != np.arange(len(names))
-        out.append(pd.DataFrame({"a": names[far], "n": pd.array([None] * int(far.sum()), dtype="Int64"), "b": pd.array(names[low[far]], dtype="Int64")}))
+        node, low = spanning_edges(qid[a], ids[b, 0])
+        out.append(pd.DataFrame({"a": node, "n": pd.array([None] * len(node), dtype="Int64"), "b": pd.array(low, dtype="Int64")}))
     return pd.concat(out)
 
 

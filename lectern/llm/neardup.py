@@ -1,13 +1,16 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, exact confirmation, components.
 
-1. One pass over the texts gives, per row, the size and a 128-bit identity of its shingle set and one key per band.
-   Rows with equal sets are one class from here on, so that thousands of copies cost one signature.
-2. Classes that share a band key form a bucket. A bucket is never expanded into all pairs: its smallest member is
-   its hub, and each other class is tried first against the one hub that it shares most bands with, then, if that
-   left it in another component, against its other hubs.
-3. Buckets that still hold several components are resolved exactly: small ones by all pairs across components,
-   larger ones after their keys are joined with the keys of one more band, and at the end whatever is left.
-4. A pair is a link only if the full sets, rebuilt from the whole texts, pass the threshold.
+1. One pass over the texts gives, per row, the size and a 128-bit identity of its shingle set, one key per band, and four bits of
+   each place of the signature. Rows with equal sets are one class from here on, so that thousands of copies cost one signature.
+2. Classes that share a band key form a bucket, whose smallest member is its hub. Each class is first tried against the hub
+   that its signature resembles most: that alone unites most of a group, and all that follows looks only across components.
+3. Classes that resemble a common hub form a group, and a group that is still in several components is resolved by blocks:
+   each pair of its blocks of about BLOCK texts is a task that counts all intersections as a product of incidence matrices and
+   returns edges that span what is linked, never pairs. A text is sent as often as its group has blocks.
+4. Pairs that share a band but no group are generated once, at the first band that they share, if sizes and signatures allow
+   a link (the estimate may be SLACK below the threshold, three to four standard deviations). Buckets of more than DIRECT open classes first get
+   finer keys, of two bands, then three; what is left after LEVELS of that is taken as it is, so that no bucket is cut short.
+5. A pair is a link only if the full sets, rebuilt from the whole texts, pass the threshold.
 """
 
 from __future__ import annotations
@@ -15,18 +18,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import connected_components, discard, id_bits, materialise, maybe_among
+from lectern.llm.common import connected_components, discard, id_bits, materialise, maybe_among, spanning_edges
 from lectern.llm.textvec import U, chunks, mix, shingle_sets
 
 BANDS, ROWS = 26, 5
-#: Buckets of up to so many classes are resolved by all pairs across components; larger ones get a finer key first.
-DIRECT = 48
-#: How often a key is made finer before what is left is resolved pair by pair whatever its size.
+#: Texts of a block.
+BLOCK = 256
+#: Buckets of up to so many open classes are resolved as they are; larger ones get a finer key first.
+DIRECT = 2048
+#: How often a key is made finer before what is left is resolved whatever its size.
 LEVELS = 3
+#: How far below the threshold the similarity that signatures show may be.
+SLACK = 0.11
+#: Places of a signature that are compared, four bits of each in four planes of two words.
+PLACES = 128
 
 
 def superminhash(sets: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
@@ -81,6 +91,13 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def planes(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of the first PLACES places, as 4 planes of 2 words per row."""
+    s = signatures[:, :PLACES]
+    bits = np.stack([((mix(s.astype(U)) >> U(k)) & U(1)).astype(np.uint8) for k in range(4)], axis=1)
+    return np.packbits(bits, axis=2, bitorder="little").reshape(len(s), -1).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -93,23 +110,18 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
                 first = at[:-1][some]
                 h1[some] = np.add.reduceat(mix(sets ^ U(0x5851F42D4C957F2D)), first)
                 h2[some] = np.add.reduceat(mix(sets * U(0xD1342543DE82EF95) + U(1)), first)
-            keys = band_keys(superminhash(sets, at, bands * rows), bands, rows)[some]
-            counts = np.where(some, bands, 0)
-            yield pa.record_batch(
-                [
-                    ids.slice(lo, len(size)),
-                    pa.array(size, pa.int64()),
-                    pa.array(h1.view(np.int64)),
-                    pa.array(h2.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(keys.reshape(-1))),
-                ],
-                names=["doc_id", "n", "h1", "h2", "keys"],
-            )
+            signatures = superminhash(sets, at, bands * rows)[some]
+            lists = []
+            for values, kind in ((band_keys(signatures, bands, rows), pa.int64()), (planes(signatures), pa.int64())):
+                offsets = np.concatenate(([0], np.cumsum(np.where(some, values.shape[1], 0))))
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.reshape(-1), kind)))
+            columns = [ids.slice(lo, len(size)), pa.array(size, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *lists]
+            yield pa.record_batch(columns, names=["doc_id", "n", "h1", "h2", "keys", "planes"])
 
 
 def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda it: _sketch(it, k, bands, rows), "doc_id long, n long, h1 long, h2 long, keys array<long>"
+        lambda it: _sketch(it, k, bands, rows), "doc_id long, n long, h1 long, h2 long, keys array<long>, planes array<long>"
     )
 
 
@@ -151,14 +163,82 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return both.mapInArrow(lambda it: _confirm(it, k, percent), "a long, b long")
 
 
-def _pairs_across(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs within a key whose components differ and whose sizes allow a link. members: key, id, n, root."""
-    x = members.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = members.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b"))
+def _confirm_block(part: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
+    """Edges that span the links across components among the texts of two blocks."""
+    ids, root = part["id"].to_numpy(np.int64), part["root"].to_numpy(np.int64)
+    sets, sizes = [], []
+    for _, data, offs in chunks(pa.array(part["text"], pa.string())):
+        own, at = shingle_sets(data, offs, k)
+        sets.append(own)
+        sizes.append(np.diff(at))
+    size = np.concatenate(sizes)
+    owner = np.repeat(np.arange(len(ids)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.unique(column[order], return_inverse=True)[1]
+    both = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    wide = 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, (lo, lo + wide))
+        m = np.zeros((len(ids), wide), dtype=np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        both += m @ m.T
+    both = both.astype(np.int64)
+    union = size[:, None] + size[None, :] - both
+    linked = (100 * both >= percent * union) & (both > 0) & (root[:, None] != root[None, :])
+    u, v = np.nonzero(linked)
+    a, b = spanning_edges(ids[u], ids[v])
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def confirm_groups(nodes: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Edges that span the links across roots within each group. nodes: id, group, root, size (of the group)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("tid"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = maybe_among(texts, "tid", id_bits(nodes, "id"))
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = nodes.select("id", "group", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+    sent = texts.join(own, F.col("tid") == F.col("id")).select("id", "group", "root", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("id", "group", "root", "text", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
+    return sent.groupBy("group", "left", "right").applyInPandas(lambda part: _confirm_block(part, k, percent), "a long, b long")
+
+
+def _resemble(a: str, b: str, percent: int) -> Column:
+    """Whether the planes of both sides differ in few enough places; a place of different values agrees by chance once in 16."""
+    words = []
+    for w in (0, 1):
+        differ = None
+        for p in range(4):
+            x = F.get(a, F.lit(2 * p + w)).bitwiseXOR(F.get(b, F.lit(2 * p + w)))
+            differ = x if differ is None else differ.bitwiseOR(x)
+        words.append(F.bit_count(differ))
+    return words[0] + words[1] <= int(PLACES * (1 - (percent / 100 - SLACK)) * 15 / 16)
+
+
+def _differing(a: str, b: str) -> Column:
+    return sum(F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))) for w in range(8))
+
+
+def _fit(percent: int) -> Column:
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+
+def _pairs_across(members: DataFrame, percent: int, once: bool) -> DataFrame:
+    """Pairs within a key whose components differ and that sizes and signatures allow. members: key, id, n, root, planes, short (keys cut to 32 bits)."""
+    x, y = (members.select("key", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}"), F.col("planes").alias(f"p{s}"), F.col("short").alias(f"s{s}")) for s in "ab")
+    fits = (F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b")) & _fit(percent) & _resemble("pa", "pb", percent)
+    if once:
+        y = y.withColumnRenamed("key", "ykey")
+        fits = (F.col("key") == F.col("ykey")) & fits & (F.get(F.array_intersect("sa", "sb"), F.lit(0)) == _cut(F.col("key")))
+        return x.join(y, fits).select("a", "b")
     return x.join(y, "key").where(fits).select("a", "b").distinct()
 
 
+def _cut(key: Column) -> Column:
+    return F.pmod(key, F.lit((1 << 31) - 1)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, direct: int = DIRECT) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
@@ -169,17 +249,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     table gives an empty table.
     """
     rows_ = materialise(sketches(docs, k, bands, rows), "sketches")
-    classes = materialise(rows_.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = materialise(rows_.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id")), "classes")
     named = classes.where("id is not null").select(F.col("id").alias("cid"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
-    first = rows_.where("n > 0").join(named, (F.col("doc_id") == F.col("cid")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_semi")
-    banded = materialise(first.select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")), "banded")
+    same = (F.col("doc_id") == F.col("cid")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))
+    first = materialise(rows_.where("n > 0").join(named, same, "left_semi").select(F.col("doc_id").alias("id"), "n", "keys", "planes").dropDuplicates(["id", "n"]), "first")
+    banded = materialise(first.select("id", F.explode("keys").alias("key")), "banded")
     hubs = materialise(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub"), "hubs")
-    buckets = materialise(banded.join(hubs, "key").select("key", "id", "n", "hub"), "buckets")
+    buckets = materialise(banded.join(hubs, "key").select("key", "id", "hub"), "buckets")
     discard(banded)
+    several = materialise(buckets.select(F.col("id").alias("bid")).distinct(), "several")
+    detail = materialise(first.join(several, F.col("id") == F.col("bid"), "left_semi").select("id", "n", "planes", F.transform("keys", _cut).alias("short")), "detail")
 
-    tried = materialise(buckets.where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "tried")
-    best = tried.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("minus"))).alias("m")).select("a", (-F.col("m.minus")).alias("b"))
-    best = materialise(best, "best")
+    x, y = (detail.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("planes").alias(f"p{s}")) for s in "ab")
+    spokes = buckets.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    tried = spokes.join(x, "a").join(y, "b").where(_fit(percent) & _resemble("pa", "pb", percent)).select("a", "b", _differing("pa", "pb").alias("differing"))
+    tried = materialise(tried, "tried")
+    best = materialise(tried.groupBy("a").agg(F.min(F.struct("differing", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
     links = materialise(confirm(best, docs, k, percent), "links")
     roots = connected_components(links)
 
@@ -187,34 +272,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         r = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
         return df.join(r, F.col(column) == F.col("__node"), "left").withColumn(name, F.coalesce("__root", column)).drop("__node", "__root")
 
-    others = tried.join(best, ["a", "b"], "left_anti").select("a", "b")
-    others = materialise(with_root(with_root(others, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"), "others")
-    if not others.isEmpty():
-        links = links.unionAll(materialise(confirm(others, docs, k, percent), "links"))
-        roots = connected_components(links)
+    # Groups: classes that resemble a common hub, directly or over others.
+    groups = connected_components(tried)
+    nodes = materialise(with_root(groups.select(F.col("node").alias("id"), F.col("root").alias("group")), "id", "root"), "grouped")
+    open_ = nodes.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    open_ = materialise(open_.select(F.col("group").alias("g"), "size"), "open")
+    if not open_.isEmpty():
+        links = links.unionAll(materialise(confirm_groups(nodes.join(open_, F.col("group") == F.col("g")).select("id", "group", "root", "size"), docs, k, percent), "links"))
 
-    left = buckets.select("key", "id", "n")
+    roots = groups
+    left = buckets.select("key", "id")
     for level in range(LEVELS + 1):
         members = materialise(with_root(left, "id", "root"), "members")
-        open_ = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        open_ = materialise(open_.select("key", "size"), "open")
-        if open_.isEmpty():
+        sizes = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+        sizes = materialise(sizes.select("key", "size"), "open")
+        if sizes.isEmpty():
             break
-        members = materialise(members.join(open_, "key").select("key", "id", "n", "root", "size"), "members")
+        members = materialise(members.join(sizes, "key").select("key", "id", "root", "size"), "members")
         small = members if level == LEVELS else members.where(F.col("size") <= direct)
-        pairs = _pairs_across(small, percent)
-        # Pairs with a bucket's own hub were tried above.
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialise(_pairs_across(small.join(detail, "id"), percent, once=level == 0), "pairs")
         if not pairs.isEmpty():
             links = links.unionAll(materialise(confirm(pairs, docs, k, percent), "links"))
-            roots = connected_components(links)
-        left = members.where(F.col("size") > direct).select("key", "id", "n")
+        left = members.where(F.col("size") > direct).select("key", "id")
         if level == LEVELS or left.isEmpty():
             break
         again = buckets.select(F.col("key").alias("other"), F.col("id").alias("oid"))
         left = materialise(
-            left.join(again, (F.col("id") == F.col("oid")) & (F.col("key") < F.col("other"))).select(F.xxhash64("key", "other").alias("key"), "id", "n"), "finer"
+            left.join(again, (F.col("id") == F.col("oid")) & (F.col("key") < F.col("other"))).select(F.xxhash64("key", "other").alias("key"), "id"), "finer"
         )
+    roots = connected_components(links)
 
     named = materialise(with_root(classes, "id", "root").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "root"), "named")
     return rows_.join(named, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") > 0), "left").select(
