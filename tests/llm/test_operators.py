@@ -1,0 +1,268 @@
+"""Each operator on small tables: against brute force or a round trip, and on nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import decontaminate, hnsw, langid, neardup, pieces, rollups, shards, toxicity, urls, warc
+from lectern.llm.common import connected_components, new_path
+
+ODD = "doc_id long, text string, lang string, source string, score double, component_id long, item long, n long"
+
+
+def odd_docs(spark):
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (5, "one"), (None, "one two three four five six"), (7, "x" * 300_000), (8, "a b " * 50_000), (9, "12 % 34"), (10, "Ünï \x00 ▁ 漢字 \U0001f600")]
+    return spark.createDataFrame([(i, t, None, None, 0.5, 3, 4, 5) for i, t in rows], ODD)
+
+
+def prose(rng, n, words="the of and tion ing er le la que und der ein ment".split()):
+    return " ".join(rng.choice(words) + rng.choice(words) for _ in range(n))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(400, 400), (None, 3)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in list(root)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def jaccard_roots(texts, k, percent):
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set() for i, w in words.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in texts}, {i: len(s) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("k", "percent", "direct"), [(3, 85, 2048), (5, 80, 4)])
+def test_near_duplicates_equal_brute_force(spark, k, percent, direct):
+    rng = random.Random(k)
+    texts = {}
+    for g in range(12):
+        base = prose(rng, rng.choice((4, 30, 120))).split()
+        for _ in range(rng.choice((1, 3, 12))):
+            copy = list(base)
+            for _ in range(rng.choice((0, 1, 2, 4))):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+    texts |= {900: None, 901: "", 902: "word", 903: "WORD"}
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k, percent, direct=direct).collect()
+    roots, sizes = jaccard_roots(texts, k, percent)
+    assert {r.doc_id: r.component_id for r in got} == roots
+    assert {r.doc_id: r.n_shingles for r in got} == sizes
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_superminhash_estimates():
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    b = np.unique(np.concatenate((a[:300], rng.integers(0, 1 << 63, 100).astype(np.uint64))))
+    s = neardup.superminhash(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), 200)
+    assert abs((s[0] == s[1]).mean() - 300 / (len(a) + len(b) - 300)) < 0.1
+
+
+@pytest.mark.parametrize("shard", [16_384, 40])
+def test_near_vectors_equal_brute_force(spark, shard):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 16))
+    x = [(base[k % 12] + rng.normal(size=16) * rng.choice([0, 0.02, 0.2])).tolist() for k in range(150)]
+    rows = [(k, v, k % 2) for k, v in enumerate(x)] + [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [1.0, None] * 8, 1), (504, x[0], None), (505, [], 0), (506, [1.0], 0)]
+    got = {r.vec_id: r for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), shard=shard, block=20).collect()}
+    assert len(got) == len(rows)
+    for k in (500, 501, 502, 503, 504, 505, 506):
+        assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True)
+    u = np.array(x, np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98) & (np.arange(150)[:, None] % 2 == np.arange(150) % 2)
+    np.fill_diagonal(links, False)
+    assert [got[k].n_links for k in range(150)] == links.sum(1).tolist()
+    low = np.arange(150)
+    for _ in range(150):
+        low = np.minimum(low, np.where(links, low[None, :], 999).min(1))
+    assert [got[k].component_id for k in range(150)] == low.tolist()
+
+
+def test_pieces_equal_the_library(spark):
+    spm = pytest.importorskip("sentencepiece")
+    path = pieces.default_model()
+    sp, model, rng = spm.SentencePieceProcessor(model_file=path), pieces.PieceModel(open(path, "rb").read()), random.Random(4)
+    some = list(model.text.values())
+    texts = ["", " a", "\x00b", "a▁b", "\n", "<s></s><unk>", "<0x0A>", "�é日本\U0001f600", "aaaa" * 9, *(" " * k + "x" + " " * k for k in range(40))]
+    texts += ["".join(rng.choice(some).replace("▁", " ") if rng.random() < 0.8 else rng.choice("aé\n漢 ") for _ in range(6)) for _ in range(1500)]
+    for t in texts:
+        ids = sp.encode(t, add_bos=True, add_eos=True)
+        assert model.encode(t) == ids, t
+        assert model.decode(ids) == sp.decode(ids), t
+    rows = pieces.encode_pieces(odd_docs(spark), path, with_ids=True).collect()
+    for r, d in zip(sorted(rows, key=lambda r: (r.doc_id or 0, r.n_tokens)), sorted(odd_docs(spark).collect(), key=lambda d: d.doc_id or 0), strict=True):
+        ids = sp.encode(d.text or "", add_bos=True, add_eos=True)
+        assert (r.ids, r.n_tokens) == (ids, len(ids))
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_shards(spark):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, rng.randrange(1, 60))) for k in range(600)] + [(1000 + k, "the same text") for k in range(400)] + [(3000, None), (3001, "")]
+    got = shards.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert len(got) == len(rows)
+    sizes, slots, where = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    text = dict(rows)
+    for r in got:
+        assert r.size == len((text[r.doc_id] or "").encode()) + 1
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        where[text[r.doc_id]].add(r.shard)
+    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for t, s in where.items() if t != "the same text")
+
+
+def test_rollups_are_idempotent(spark):
+    roll = rollups.TokenRollup(spark, new_path(spark, "test-rollup"))
+    batch = spark.createDataFrame([("insert", "s", "en", "v", 5, None), ("insert", "s", None, "v", None, None), ("insert", "s", "en", "v", 7, None)], "action string, source string, lang string, tokenizer_version string, n_tokens long, old_tokens long")
+    assert roll.apply("one", batch) and not roll.apply("one", batch)
+    change = spark.createDataFrame([("revise", "s", "en", "v", 9, 7), ("delete", "s", "en", "v", 5, None), ("delete", "s", None, "v", None, None)], batch.schema)
+    assert roll.apply("two/x", change) and not roll.apply("two/x", change)
+    assert roll.apply("empty", batch.limit(0))
+    assert [tuple(r) for r in roll.totals().collect()] == [("s", "en", "v", 1, 9)]
+
+
+def test_urls(spark):
+    cases = {"http://Example.com/en/1": "example.com/en/", "https://www.example.com/en/": "www.example.com/en/", "http://a.b.net/fr/x?y": "net/fr/", "http://x.com": None, "http://x.com/": "com/", None: None, "no": None, "http://xexample.org/en/": None, "a://b.com#/x": None}
+    rows = spark.createDataFrame([(k, u, "n") for k, u in enumerate(cases)], "page_id long, url string, host string")
+    got = {r.page_id: r for r in urls.judge(rows).collect()}
+    assert [got[k].rule for k in range(len(cases))] == list(cases.values())
+    assert (got[0].host, got[0].path) == ("example.com", "/en/1") and (got[5].host, got[5].path) == ("", "")
+    assert {r.verdict for r in got.values()} <= {"allow", "block"}
+    table = urls.labelled_urls()
+    model = urls.fit([t for k, t in enumerate(table) if k % 4])
+    import pyarrow as pa
+
+    held = [t for k, t in enumerate(table) if not k % 4]
+    p = model.score(pa.array([t[0] for t in held]), pa.array([t[1] for t in held]))
+    assert np.mean((p >= 0.5) == [t[2] == 1 for t in held]) > 0.9
+
+
+def test_language_and_toxicity_on_odd_rows(spark):
+    rng = random.Random(6)
+    words = {"en": "the of and thing".split(), "de": "der und keit schön".split()}
+    rows = [(100 + k, prose(rng, 30, words[("en", "de")[k % 2]]), ("en", "de")[k % 2], None, 0.0, 0, 0, 0) for k in range(80)]
+    train = spark.createDataFrame(rows, ODD)
+    model = langid.fit(train.where("doc_id < 160"))
+    got = {r.doc_id: r for r in langid.identify(train, model).collect()}
+    assert all(got[r[0]].lang_pred == r[2] for r in rows if r[0] >= 160)
+    odd = langid.identify(odd_docs(spark), model).collect()
+    assert len(odd) == 11 and {r.doc_id for r in odd if r.lang_pred == "und"} == {1, 2, 3, 9}
+    assert {r.lang_pred for r in langid.identify(train, langid.fit(train.limit(0))).collect()} == {"und"}
+    toxic = spark.createDataFrame([(r[0], r[1] + (" you idiot moron scum" if r[0] % 3 == 0 else "")) for r in rows], "doc_id long, text string")
+    labels = toxic.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).unionAll(spark.createDataFrame([(None, 1), (101, None)], "doc_id long, toxic int"))
+    model = toxicity.fit(toxic, labels.where("doc_id < 160"))
+    got = {r.doc_id: r for r in toxicity.toxicity(toxic, model).collect()}
+    assert all(got[k].predicted == int(k % 3 == 0) for k in range(160, 180))
+    assert all(0 <= r.score <= 1 for r in toxicity.toxicity(odd_docs(spark), model).collect())
+    assert toxicity.toxicity(odd_docs(spark), toxicity.fit(toxic, labels.limit(0))).count() == 11
+
+
+def test_warc(spark):
+    rng = random.Random(7)
+    html = {1: None, 2: "", 3: "x\r\n\r\nWARC/1.0\r\n", 4: prose(rng, 9000), 5: "same", 6: "same", 7: "same", 8: "é" * 40_000}
+    rows = spark.createDataFrame([(k, f"http://h/\n{k}", h, "z") for k, h in html.items()] + [(6, "http://h/6", "same", "z"), (None, None, None, None)], "page_id long, url string, html string, sha string")
+    path = new_path(spark, "test-warc")
+    warc.archive(rows, path)
+    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert sorted(got) == sorted(html)
+    for k, h in html.items():
+        data = (h or "").encode()
+        assert (got[k].payload_bytes, got[k].payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+    assert {k: got[k].refers_to for k in html if got[k].record_type == "revisit"} == {1: 2, 5: 7, 6: 7}
+    body = warc.chunked(b"abc" * 9999)
+    assert warc.unchunked(body) == b"abc" * 9999
+    with pytest.raises(ValueError):
+        warc.unchunked(body[:-9])
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(8)
+    items = {k: prose(rng, n) for k, n in enumerate((5, 9, 20, 40))}
+    docs = {}
+    for k in range(40):
+        words = prose(rng, 200).split()
+        if k % 2:
+            passage = items[k % 4].split()
+            for _ in range(rng.choice((0, 1, 3))):
+                passage[rng.randrange(len(passage))] = "changed"
+            at = rng.randrange(150)
+            words[at:at] = passage
+        docs[k] = " ".join(words)
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    want = {}
+    for d, t in docs.items():
+        w = split(t)
+        for i, s in items.items():
+            v = split(s)
+            for p in range(len(w) - 7):
+                for q in range(len(v) - 7):
+                    if any(all(w[p + j] == v[q + j] for j in m) for m in masks):
+                        n = min(13, len(v))
+                        best = max(sum(0 <= p + k < len(w) and 0 <= q + k < len(v) and w[p + k] == v[q + k] for k in range(b, b + n)) for b in range(8 - 13, 1))
+                        if best * 13 >= n * 10:
+                            want[(d, i)] = max(best, want.get((d, i), 0))
+    table = spark.createDataFrame([*docs.items(), (None, items[3]), (99, None), (98, "")], "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("item", F.lit("x"))
+    bench = spark.createDataFrame([*items.items(), (None, "a"), (7, None), (3, items[3])], "item_id long, text string")
+    for most in (2_000_000, 0):
+        got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.overlaps(table, bench, broadcast_seeds=most).collect()}
+        assert got == want and want
+    assert decontaminate.overlaps(table, bench.limit(0)).count() == 0
+
+
+def test_odd_and_empty_tables(spark):
+    odd = odd_docs(spark)
+    got = {r.doc_id: r for r in neardup.near_duplicates(odd).collect()}
+    assert got[5].component_id == 4 and not got[5].kept and got[None].kept is False
+    assert shards.assign_shards(odd).count() == 11
+    none = odd.limit(0)
+    for df in (neardup.near_duplicates(none), shards.assign_shards(none), pieces.encode_pieces(none, pieces.default_model()), hnsw.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))):
+        assert df.count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as c
+
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    columns = docs.columns
+    for _, stage in c.STAGES[:-1]:
+        after = c.materialise(stage(spark, docs, data), "test")
+        assert after.columns == columns and 0 < after.count() <= docs.count()
+        docs = after
+    assert c.STAGES[-1][1](spark, docs, data).count() == docs.count()
