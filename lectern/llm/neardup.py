@@ -95,7 +95,7 @@ def planes(signatures: np.ndarray) -> np.ndarray:
     """Four bits of the first PLACES places, as 4 planes of 2 words per row."""
     s = signatures[:, :PLACES]
     bits = np.stack([((mix(s.astype(U)) >> U(k)) & U(1)).astype(np.uint8) for k in range(4)], axis=1)
-    return np.packbits(bits, axis=2, bitorder="little").reshape(len(s), -1).view(np.int64)
+    return np.packbits(bits, axis=2, bitorder="little").reshape(len(s), PLACES // 2).view(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
