@@ -30,7 +30,10 @@ def _filtered(docs: DataFrame, keep) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(keep(batch.column(at)))
+            for lo in range(0, batch.num_rows, langid.ROWS):
+                part = batch.slice(lo, langid.ROWS)
+                yield part.filter(keep(part.column(at)))
+            pa.default_memory_pool().release_unused()
 
     at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)

@@ -22,6 +22,8 @@ TRAIN_ROWS = 20_000
 MAX_LANGS = 256
 #: Characters scored at a time; a longer text is worked off piece by piece.
 PIECE = 1 << 18
+#: Rows that are turned into Python strings at a time.
+ROWS = 512
 
 _LETTER = re.compile(r"[^\W\d_]")
 _fold: list[np.ndarray] = []
@@ -148,8 +150,10 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, p = shared.value.predict(batch.column(1).to_pylist())
-            yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(p)], names=["doc_id", "lang_pred", "score"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                langs, p = shared.value.predict(part.column(1).to_pylist())
+                yield pa.record_batch([part.column(0), pa.array(langs, pa.string()), pa.array(p)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, lang_pred string, score double")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words that are kept with their ids, in two generations of CACHE words; longer words than LONGEST are not kept.
-CACHE, LONGEST = 250_000, 64
+CACHE, LONGEST = 220_000, 64
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NONE = 1 << 40
 
@@ -65,10 +65,13 @@ class PieceModel:
                 reached.append(i)
         self.automaton = ahocorasick.Automaton()
         for i in reached:
-            self.automaton.add_word(self.text[i], i << 6 | len(self.text[i]))
+            self.automaton.add_word(self.text[i], i << 5 | len(self.text[i]))
         self.automaton.make_automaton()
         self.joined = {(a, b): self.rank[i] for i in self.text for a, b in self._splits(self.text[i])}
         self.fits: dict[int, bool] = {}
+        self.size = [len(p.piece) for p in proto.pieces]
+        if len(self.size) > 1 << 15 or max(self.size) > 31:
+            raise ValueError("more than 32768 pieces, or one of more than 31 characters")
         self.cache: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
         self.piece_bytes = [p.piece.replace(MARK, " ").encode() if p.type == 1 else bytes([self.byte_of[i]]) if p.type == 6 else b"" for i, p in enumerate(proto.pieces)]
@@ -111,32 +114,34 @@ class PieceModel:
                 left_limit, a = ra, ha[1]
             else:
                 right_limit, b = rb, hb[0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 1_000_000:
             self.fits.clear()
-        self.fits[(left << 6 | len(self.text[left])) << 32 | right << 6 | len(self.text[right])] = fine
+        self.fits[left << 15 | right] = fine
         return fine
 
     def word_ids(self, word: str) -> list[int]:
-        """The table of last tokens of one marked word, read backwards. last[end] is token * 64 + its length, or -1 after a character that no piece has."""
+        """The table of last tokens of one marked word, read backwards; -1 stands after a character that no piece has."""
         last = [-1] * (len(word) + 1)
-        fits, compatible = self.fits, self.compatible
+        known, compatible = self.fits.get, self.compatible
         for end, match in self.automaton.iter(word):
             end += 1
             if last[end] < 0:
-                before = last[end - (match & 63)]
+                before = last[end - (match & 31)]
                 if before < 0:
-                    last[end] = match
+                    last[end] = match >> 5
                 else:
-                    fine = fits.get(before << 32 | match)
-                    if compatible(before >> 6, match >> 6) if fine is None else fine:
-                        last[end] = match
+                    token = match >> 5
+                    fine = known(before << 15 | token)
+                    if compatible(before, token) if fine is None else fine:
+                        last[end] = token
         out: list[int] = []
+        size = self.size
         end = len(word)
         while end:
-            match = last[end]
-            if match >= 0:
-                out.append(match >> 6)
-                end -= match & 63
+            token = last[end]
+            if token >= 0:
+                out.append(token)
+                end -= size[token]
             else:
                 end -= 1
                 out.extend(self.bytes[b] for b in reversed(word[end].encode()))

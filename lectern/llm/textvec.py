@@ -12,7 +12,7 @@ U = np.uint64
 _MUL, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=U)
 #: Bytes of text that are worked on at a time; a longer text is a batch of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
