@@ -8,7 +8,7 @@
    each pair of its blocks of about BLOCK texts is a task that counts all intersections as a product of incidence matrices and
    returns edges that span what is linked, never pairs. A text is sent as often as its group has blocks.
 4. Pairs that share a band but no group are generated once, at the first band that they share, if sizes and signatures allow
-   a link (the estimate may be SLACK below the threshold, three to four standard deviations). Buckets of more than DIRECT open classes first get
+   a link (the estimate may be SLACK below the threshold, about three standard deviations). Buckets of more than DIRECT open classes first get
    finer keys, of two bands, then three; what is left after LEVELS of that is taken as it is, so that no bucket is cut short.
 5. A pair is a link only if the full sets, rebuilt from the whole texts, pass the threshold.
 """
