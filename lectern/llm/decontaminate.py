@@ -75,3 +75,25 @@ def _at(array: str, index: Column) -> Column:
 
 def op10_spaced_seed_decontamination(spark, sf_dir: str) -> DataFrame:
     return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_SQL_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as {}"
+_SQL_SEEDS = "unnest([" + ", ".join("'{0}' || ".format(n) + " || ' ' || ".join(f"{{0}}[place + {k}]" for k, on in enumerate(m, 1) if on == "1") for n, m in enumerate(MASKS)) + "]) as seed"
+
+OP10_SQL = f"""
+with items as (select * from (select item_id, {_SQL_TOKENS.format('item')} from benchmark where item_id is not null and text is not null) where len(item) >= {SPAN}),
+docs as (select doc_id, {_SQL_TOKENS.format('tokens')} from documents where doc_id is not null and text is not null),
+item_places as (select item_id, item, unnest(range(len(item) - {SPAN - 1})) as place from items),
+sought as (select distinct item_id, item, place as item_at, {_SQL_SEEDS.format('item')} from item_places),
+places as (select doc_id, tokens, unnest(range(len(tokens) - {SPAN - 1})) as place from docs),
+sown as (select doc_id, place as doc_at, {_SQL_SEEDS.format('tokens')} from places),
+hits as (
+  select s.doc_id, item_id, doc_at, item_at, least({WINDOW}, len(item)) as need, item,
+    (select tokens from docs d where d.doc_id = s.doc_id) as tokens from sown s join sought using (seed)),
+counted as (
+  select doc_id, item_id, doc_at, need, list_max(list_transform(range({SPAN - WINDOW}, 1), lambda f: {{
+    'matched': len(list_filter(range(f, f + need), lambda k: doc_at + k >= 0 and item_at + k >= 0 and k < {WINDOW} and coalesce(tokens[doc_at + k + 1] = item[item_at + k + 1], false))), 'back': -f}})) as b
+  from hits)
+select doc_id, item_id, count(*) as n_hits, max(b.matched)::int as matched, min(greatest(0, doc_at - b.back))::bigint as doc_at
+from counted where b.matched * {WINDOW} >= need * {MATCHES} group by doc_id, item_id
+"""

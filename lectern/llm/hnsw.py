@@ -296,3 +296,19 @@ def _query(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 def op3_hnsw_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP3_SQL = """
+with recursive usable as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0),
+links as (
+  select x.vec_id as a, y.vec_id as b from usable x join usable y
+  on x.label = y.label and len(x.e) = len(y.e) and x.vec_id <> y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.98),
+reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),
+lowest as (select a, min(b) as b from reached group by a),
+counted as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(b, vec_id)) as component_id, vec_id <= coalesce(b, vec_id) as kept
+from embeddings left join lowest on vec_id = lowest.a left join counted on vec_id = counted.a
+"""

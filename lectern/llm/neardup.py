@@ -313,3 +313,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 def op8_superminhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+
+
+OP8_SQL = """
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingled as (
+  select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from worded),
+single as (select doc_id, len(s) as n, unnest(s) as x from shingled),
+shared as (
+  select p.doc_id as a, q.doc_id as b, p.n + q.n as total, count(*) as common from single p join single q on p.x = q.x and p.doc_id <> q.doc_id
+  group by all),
+links as (select a, b from shared where 100 * common >= 85 * (total - common)),
+reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),
+lowest as (select a, min(b) as b from reached group by a)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(b, doc_id)) as component_id, doc_id <= coalesce(b, doc_id) as kept
+from shingled left join lowest on doc_id = a
+"""

@@ -23,4 +23,10 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_delta_rollups": rollups.OP5_SQL}
+    return {
+        "op3_hnsw_near_dedup": hnsw.OP3_SQL,
+        "op5_delta_rollups": rollups.OP5_SQL,
+        "op8_superminhash_near_dedup": neardup.OP8_SQL,
+        "op9_warc_segments": warc.OP9_SQL,
+        "op10_spaced_seed_decontamination": decontaminate.OP10_SQL,
+    }

@@ -215,3 +215,14 @@ def op9_warc_segments(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path)
+
+
+OP9_SQL = """
+with payloads as (select distinct page_id, coalesce(html, '') as payload from pages where page_id is not null),
+named as (select page_id, strlen(payload) as n, sha1(payload) as hex, max(page_id) over (partition by payload) as first from payloads)
+select page_id, n::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, (i // 4 * 5 + 1)::bigint, 5))::int >> (15 - i % 4 * 5)::int) & 31) + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from named
+"""
