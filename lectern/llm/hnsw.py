@@ -238,11 +238,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, shard: int = SHARD
     nodes = materialise(usable.groupBy("label", "e").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
     sizes = nodes.groupBy("label", F.size("e").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
     placed = nodes.withColumn("dim", F.size("e")).join(sizes, ["label", "dim"])
-    placed = materialise(placed.select("label", "dim", F.pmod(F.xxhash64("e"), F.col("shards")).cast("int").alias("shard"), "node", "copies", "e"), "placed")
-    graphs = materialise(placed.groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shard int, graph binary, ids binary"), "graphs")
-    in_block = placed.withColumn("block", F.pmod(F.xxhash64("e", F.lit(3)), F.lit(max(1, shard // block))).cast("int"))
-    blocks = in_block.groupBy("label", "dim", F.col("shard").alias("from"), "block").applyInPandas(_block, "label string, dim int, from int, block int, q binary, qids binary")
-    found = blocks.join(graphs, ["label", "dim"]).groupBy("label", "dim", "from", "block", "shard").applyInPandas(lambda k, p: _query(p, threshold), "a long, n long, b long")
+    placed = materialise(placed.select("label", "dim", "shards", F.pmod(F.xxhash64("e"), F.col("shards")).cast("int").alias("shard"), "node", "copies", "e"), "placed")
+    graphs = materialise(placed.groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shards int, shard int, graph binary, ids binary"), "graphs")
+    per = max(1, shard // block)
+    in_block = placed.withColumn("block", F.pmod(F.xxhash64("e", F.lit(3)), F.lit(per)).cast("int"))
+    blocks = in_block.groupBy("label", "dim", F.col("shard").alias("from"), "block").applyInPandas(_block, "label string, dim int, shards int, from int, block int, q binary, qids binary")
+    # A pair of shards is a task, and a pair of few shards several: a graph is sent once per task and not once per block.
+    parts = F.ceil(F.lit(per) / F.col("shards")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    asked = blocks.select("*", every.alias("shard"), F.pmod("block", parts).alias("part"))
+    asked = asked.select("label", "dim", "from", "shard", "part", "q", "qids")
+    targets = graphs.select("*", every.alias("from")).select("label", "dim", "from", "shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "graph", "ids")
+    keys = ["label", "dim", "from", "shard", "part"]
+    found = asked.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(lambda q, g: _query(q, g, threshold), "a long, n long, b long")
     found = materialise(found, "found")
     roots = connected_components(found.where("b is not null").select("a", "b"))
     near = found.where("n is not null").groupBy(F.col("a").alias("na")).agg(F.sum("n").alias("n"))
@@ -262,20 +270,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, shard: int = SHARD
 def _build(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("node", kind="stable")
     ids = np.column_stack((group["node"].to_numpy(np.int64), group["copies"].to_numpy(np.int64)))
-    return pd.DataFrame({"label": group["label"].iloc[:1], "dim": group["dim"].iloc[:1], "shard": group["shard"].iloc[:1], "graph": [Graph.build(unit(group["e"])).to_bytes()], "ids": [ids.tobytes()]})
+    return pd.DataFrame({**{k: group[k].iloc[:1] for k in ("label", "dim", "shards", "shard")}, "graph": [Graph.build(unit(group["e"])).to_bytes()], "ids": [ids.tobytes()]})
 
 
 def _block(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("node", kind="stable")
-    first = {k: group[k].iloc[:1] for k in ("label", "dim", "block")}
-    return pd.DataFrame({**first, "from": group["shard"].iloc[:1], "q": [unit(group["e"]).tobytes()], "qids": [group["node"].to_numpy(np.int64).tobytes()]})[["label", "dim", "from", "block", "q", "qids"]]
+    first = {k: group[k].iloc[:1] for k in ("label", "dim", "shards", "block")}
+    return pd.DataFrame({**first, "from": group["shard"].iloc[:1], "q": [unit(group["e"]).tobytes()], "qids": [group["node"].to_numpy(np.int64).tobytes()]})[["label", "dim", "shards", "from", "block", "q", "qids"]]
 
 
-def _query(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _query(blocks: pd.DataFrame, target: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Rows (a, n, null) with the weight of a's links in this shard, itself included, and edges (a, null, b) that span what is linked here."""
-    out = []
-    for row in rows.itertuples():
-        graph, ids = Graph.from_bytes(row.graph), np.frombuffer(row.ids, np.int64).reshape(-1, 2)
+    out = [pd.DataFrame({k: pd.array([], dtype="Int64") for k in "anb"})]
+    graph, ids = Graph.from_bytes(target["graph"].iloc[0]), np.frombuffer(target["ids"].iloc[0], np.int64).reshape(-1, 2)
+    at = {int(v): k for k, v in enumerate(ids[:, 0])}
+    for row in blocks.itertuples():
         qid = np.frombuffer(row.qids, np.int64)
         q = np.frombuffer(row.q).reshape(len(qid), -1)
         a, b, _ = linked(graph, q, threshold)
@@ -284,7 +293,6 @@ def _query(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
         missing[a[own]] = False
         n = np.bincount(a, ids[b, 1], len(qid)).astype(np.int64)
         # A unit vector's product with itself may round to just below the threshold only if that is 1.
-        at = {int(v): k for k, v in enumerate(ids[:, 0])}
         for k in np.flatnonzero(missing):
             if int(qid[k]) in at:
                 n[k] += ids[at[int(qid[k])], 1]
