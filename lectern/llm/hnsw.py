@@ -21,6 +21,7 @@ from lectern.llm.common import connected_components, materialise, spanning_edges
 
 SHARD = 16_384  # vectors of a graph
 BLOCK = 512  # vectors that query a graph together
+TOGETHER = 4  # blocks of a task at least, so that a graph is not sent for every block
 LINKS = 12  # neighbours per node on the upper layers, twice as many on the lowest
 BUILD_BEAM, FIRST_BEAM = 48, 32
 AUDIT, RECALL = 32, 1.0  # queries of a block that are audited, and the share of their links to be found
@@ -236,15 +237,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, shard: int = SHARD
     broken = F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = rows.where("vec_id is not null and label is not null and e is not null").where((F.size("e") > 0) & ~broken & F.exists("e", lambda v: v != 0)).distinct()
     nodes = materialise(usable.groupBy("label", "e").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    sizes = nodes.groupBy("label", F.size("e").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    sizes = nodes.groupBy("label", F.size("e").alias("dim")).agg(F.count(F.lit(1)).alias("total")).withColumn("shards", F.ceil(F.col("total") / shard).cast("int"))
+    sizes = sizes.select("label", "dim", "shards", F.ceil(F.col("total") / F.col("shards") / block).cast("int").alias("per"))
     placed = nodes.withColumn("dim", F.size("e")).join(sizes, ["label", "dim"])
-    placed = materialise(placed.select("label", "dim", "shards", F.pmod(F.xxhash64("e"), F.col("shards")).cast("int").alias("shard"), "node", "copies", "e"), "placed")
-    graphs = materialise(placed.groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shards int, shard int, graph binary, ids binary"), "graphs")
-    per = max(1, shard // block)
-    in_block = placed.withColumn("block", F.pmod(F.xxhash64("e", F.lit(3)), F.lit(per)).cast("int"))
-    blocks = in_block.groupBy("label", "dim", F.col("shard").alias("from"), "block").applyInPandas(_block, "label string, dim int, shards int, from int, block int, q binary, qids binary")
+    placed = materialise(placed.select("label", "dim", "shards", "per", F.pmod(F.xxhash64("e"), F.col("shards")).cast("int").alias("shard"), "node", "copies", "e"), "placed")
+    graphs = materialise(placed.groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shards int, per int, shard int, graph binary, ids binary"), "graphs")
+    in_block = placed.withColumn("block", F.pmod(F.xxhash64("e", F.lit(3)), F.col("per")).cast("int"))
+    blocks = in_block.groupBy("label", "dim", F.col("shard").alias("from"), "block").applyInPandas(_block, "label string, dim int, shards int, per int, from int, block int, q binary, qids binary")
     # A pair of shards is a task, and a pair of few shards several: a graph is sent once per task and not once per block.
-    parts = F.ceil(F.lit(per) / F.col("shards")).cast("int")
+    parts = F.ceil(F.col("per") / (TOGETHER * F.col("shards"))).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
     asked = blocks.select("*", every.alias("shard"), F.pmod("block", parts).alias("part"))
     asked = asked.select("label", "dim", "from", "shard", "part", "q", "qids")
@@ -270,13 +271,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, shard: int = SHARD
 def _build(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("node", kind="stable")
     ids = np.column_stack((group["node"].to_numpy(np.int64), group["copies"].to_numpy(np.int64)))
-    return pd.DataFrame({**{k: group[k].iloc[:1] for k in ("label", "dim", "shards", "shard")}, "graph": [Graph.build(unit(group["e"])).to_bytes()], "ids": [ids.tobytes()]})
+    return pd.DataFrame({**{k: group[k].iloc[:1] for k in ("label", "dim", "shards", "per", "shard")}, "graph": [Graph.build(unit(group["e"])).to_bytes()], "ids": [ids.tobytes()]})
 
 
 def _block(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("node", kind="stable")
-    first = {k: group[k].iloc[:1] for k in ("label", "dim", "shards", "block")}
-    return pd.DataFrame({**first, "from": group["shard"].iloc[:1], "q": [unit(group["e"]).tobytes()], "qids": [group["node"].to_numpy(np.int64).tobytes()]})[["label", "dim", "shards", "from", "block", "q", "qids"]]
+    first = {k: group[k].iloc[:1] for k in ("label", "dim", "shards", "per", "block")}
+    return pd.DataFrame({**first, "from": group["shard"].iloc[:1], "q": [unit(group["e"]).tobytes()], "qids": [group["node"].to_numpy(np.int64).tobytes()]})[["label", "dim", "shards", "per", "from", "block", "q", "qids"]]
 
 
 def _query(blocks: pd.DataFrame, target: pd.DataFrame, threshold: float) -> pd.DataFrame:
