@@ -210,6 +210,30 @@ def test_warc(spark):
         warc.unchunked(body[:-9])
 
 
+def brute_overlaps(docs, items):
+    """(document, item) to the most equal tokens in a window, by looking at every pair of places that a mask lets match."""
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    places = collections.defaultdict(list)
+    tokens = {i: split(s) for i, s in items.items()}
+    for i, v in tokens.items():
+        for q in range(len(v) - 7):
+            for m in masks:
+                places[(tuple(m), *(v[q + j] for j in m))].append((i, q))
+    want = {}
+    for d, t in docs.items():
+        w = split(t)
+        for p in range(len(w) - 7):
+            for m in masks:
+                for i, q in places.get((tuple(m), *(w[p + j] for j in m)), ()):
+                    v = tokens[i]
+                    n = min(13, len(v))
+                    best = max(sum(0 <= p + k < len(w) and 0 <= q + k < len(v) and w[p + k] == v[q + k] for k in range(b, b + n)) for b in range(8 - 13, 1))
+                    if best * 13 >= n * 10:
+                        want[(d, i)] = max(best, want.get((d, i), 0))
+    return want
+
+
 def test_overlaps_equal_brute_force(spark):
     rng = random.Random(8)
     items = {k: prose(rng, n) for k, n in enumerate((5, 9, 20, 40))}
@@ -223,20 +247,7 @@ def test_overlaps_equal_brute_force(spark):
             at = rng.randrange(150)
             words[at:at] = passage
         docs[k] = " ".join(words)
-    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
-    want = {}
-    for d, t in docs.items():
-        w = split(t)
-        for i, s in items.items():
-            v = split(s)
-            for p in range(len(w) - 7):
-                for q in range(len(v) - 7):
-                    if any(all(w[p + j] == v[q + j] for j in m) for m in masks):
-                        n = min(13, len(v))
-                        best = max(sum(0 <= p + k < len(w) and 0 <= q + k < len(v) and w[p + k] == v[q + k] for k in range(b, b + n)) for b in range(8 - 13, 1))
-                        if best * 13 >= n * 10:
-                            want[(d, i)] = max(best, want.get((d, i), 0))
+    want = brute_overlaps(docs, items)
     table = spark.createDataFrame([*docs.items(), (None, items[3]), (99, None), (98, "")], "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("item", F.lit("x"))
     bench = spark.createDataFrame([*items.items(), (None, "a"), (7, None), (3, items[3])], "item_id long, text string")
     for most in (2_000_000, 0):
@@ -255,14 +266,48 @@ def test_odd_and_empty_tables(spark):
         assert df.count() == 0
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages_equal_brute_force(spark):
+    spm = pytest.importorskip("sentencepiece")
     import corpus_pipeline as c
 
     data = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    columns = docs.columns
-    for _, stage in c.STAGES[:-1]:
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    columns, kept = docs.columns, {}
+    before = {r.doc_id: r.text for r in docs.collect()}
+    want = {
+        "language": lambda t: {i for i, x in t.items() if any(y.isalpha() for y in x or "")},
+        "near_duplicates": lambda t: {i for i, root in jaccard_roots(t, 5, 80)[0].items() if i == root},
+        "decontamination": lambda t: set(t) - {d for d, _ in brute_overlaps(t, items)},
+    }
+    for name, stage in c.STAGES[:-1]:
         after = c.materialise(stage(spark, docs, data), "test")
-        assert after.columns == columns and 0 < after.count() <= docs.count()
-        docs = after
-    assert c.STAGES[-1][1](spark, docs, data).count() == docs.count()
+        assert after.columns == columns
+        kept = {r.doc_id: r.text for r in after.collect()}
+        assert kept and kept.items() <= before.items()
+        if name in want:
+            assert set(kept) == want[name](before), name
+        else:
+            model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+            assert set(kept) == {r.doc_id for r in toxicity.toxicity(docs, model).collect() if r.score < c.TOXIC}
+        docs, before = after, kept
+    sp = spm.SentencePieceProcessor(model_file=pieces.default_model())
+    got = {r.doc_id: r for r in c.STAGES[-1][1](spark, docs, data).collect()}
+    assert set(got) == set(kept)
+    for i, text in kept.items():
+        ids = sp.encode(text, add_bos=True, add_eos=True)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and blank texts go in the first stage; equal texts leave one row; an empty table stays empty."""
+    import corpus_pipeline as c
+
+    spark.createDataFrame([(4, 1), (7, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = odd_docs(spark).withColumn("lang", F.lit("en"))
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.doc_id for r in c.run(spark, str(tmp_path)).collect()]
+    assert set(got) <= {4, 5, 7, 8, 10, None} and 5 not in got and len(got) == len(set(got))
+    odd.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert c.run(spark, str(tmp_path)).count() == 0
