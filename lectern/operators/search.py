@@ -51,13 +51,14 @@ def scores(docs: DataFrame, key: str, text: Column, query: str) -> DataFrame:
     per = tok.select(key, F.size("t").cast("long").alias("dl"), F.filter("t", lambda x: F.array_contains(want, x)).alias("hit"))
     per = per.select(key, "dl", *(_times("hit", w).alias(f"tf{k}") for k, w in enumerate(terms)))
     stats = per.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
-    both = per.where(F.greatest(F.lit(0), *(F.col(f"tf{k}") for k in range(len(terms)))) > 0).crossJoin(F.broadcast(stats))
+    both = per.crossJoin(F.broadcast(stats))
     total = F.lit(0.0)
     for k in range(len(terms)):
         tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         total = total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))).otherwise(0.0)
-    return both.select(key, total.alias("score"))
+    # A filter on the frequencies would be pushed below their projection and tokenise each text again per term; a score needs the statistics and is not.
+    return both.select(key, total.alias("score")).where("score > 0")
 
 
 def scores_from_index(index: DataFrame, sizes: DataFrame, key: str, query: str) -> DataFrame:
