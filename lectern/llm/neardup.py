@@ -7,9 +7,9 @@
 3. Classes that resemble a common hub form a group, and a group that is still in several components is resolved by blocks:
    each pair of its blocks of about BLOCK texts is a task that counts all intersections as a product of incidence matrices and
    returns edges that span what is linked, never pairs. A text is sent as often as its group has blocks.
-4. Pairs that share a band but no group are generated once, at the first band that they share, if sizes and signatures allow
-   a link (the estimate may be SLACK below the threshold, about three standard deviations). Buckets of more than DIRECT open classes first get
-   finer keys, of two bands, then three; what is left after LEVELS of that is taken as it is, so that no bucket is cut short.
+4. Pairs that share a band but no group are generated once, at the least key that they share among the buckets of up to DIRECT classes, if sizes
+   and signatures allow a link (the estimate may be SLACK below the threshold, about three standard deviations). Larger buckets that hold several
+   groups are resolved by blocks like groups, whatever else their pairs share, so that no bucket is cut short.
 5. A pair is a link only if the full sets, rebuilt from the whole texts, pass the threshold.
 """
 
@@ -29,10 +29,8 @@ from lectern.llm.textvec import U, chunks, mix, shingle_sets
 BANDS, ROWS = 26, 5
 #: Texts of a block.
 BLOCK = 256
-#: Buckets of up to so many open classes are resolved as they are; larger ones get a finer key first.
+#: Buckets of up to so many classes give pairs; larger ones are resolved by blocks.
 DIRECT = 2048
-#: How often a key is made finer before what is left is resolved whatever its size.
-LEVELS = 3
 #: How far below the threshold the similarity that signatures show may be.
 SLACK = 0.11
 #: Places of a signature that are compared, four bits of each in four planes of two words.
@@ -224,19 +222,11 @@ def _fit(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _pairs_across(members: DataFrame, percent: int, once: bool) -> DataFrame:
-    """Pairs within a key whose components differ and that sizes and signatures allow. members: key, id, n, root, planes, short (keys cut to 32 bits)."""
-    x, y = (members.select("key", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}"), F.col("planes").alias(f"p{s}"), F.col("short").alias(f"s{s}")) for s in "ab")
+def _pairs_across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs within a key whose components differ and that sizes and signatures allow, each once. members: key, id, n, root, planes, open (all keys that the id has here)."""
+    x, y = (members.select(F.col("key").alias(f"key{s}"), F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}"), F.col("planes").alias(f"p{s}"), F.col("open").alias(f"o{s}")) for s in "ab")
     fits = (F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b")) & _fit(percent) & _resemble("pa", "pb", percent)
-    if once:
-        y = y.withColumnRenamed("key", "ykey")
-        fits = (F.col("key") == F.col("ykey")) & fits & (F.get(F.array_intersect("sa", "sb"), F.lit(0)) == _cut(F.col("key")))
-        return x.join(y, fits).select("a", "b")
-    return x.join(y, "key").where(fits).select("a", "b").distinct()
-
-
-def _cut(key: Column) -> Column:
-    return F.pmod(key, F.lit((1 << 31) - 1)).cast("int")
+    return x.join(y, (F.col("keya") == F.col("keyb")) & fits & (F.array_min(F.array_intersect("oa", "ob")) == F.col("keya"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, direct: int = DIRECT) -> DataFrame:
@@ -258,7 +248,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     buckets = materialise(banded.join(hubs, "key").select("key", "id", "hub"), "buckets")
     discard(banded)
     several = materialise(buckets.select(F.col("id").alias("bid")).distinct(), "several")
-    detail = materialise(first.join(several, F.col("id") == F.col("bid"), "left_semi").select("id", "n", "planes", F.transform("keys", _cut).alias("short")), "detail")
+    detail = materialise(first.join(several, F.col("id") == F.col("bid"), "left_semi").select("id", "n", "planes"), "detail")
 
     x, y = (detail.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("planes").alias(f"p{s}")) for s in "ab")
     spokes = buckets.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
@@ -281,25 +271,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         links = links.unionAll(materialise(confirm_groups(nodes.join(open_, F.col("group") == F.col("g")).select("id", "group", "root", "size"), docs, k, percent), "links"))
 
     roots = groups
-    left = buckets.select("key", "id")
-    for level in range(LEVELS + 1):
-        members = materialise(with_root(left, "id", "root"), "members")
-        sizes = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        sizes = materialise(sizes.select("key", "size"), "open")
-        if sizes.isEmpty():
-            break
-        members = materialise(members.join(sizes, "key").select("key", "id", "root", "size"), "members")
-        small = members if level == LEVELS else members.where(F.col("size") <= direct)
-        pairs = materialise(_pairs_across(small.join(detail, "id"), percent, once=level == 0), "pairs")
-        if not pairs.isEmpty():
-            links = links.unionAll(materialise(confirm(pairs, docs, k, percent), "links"))
-        left = members.where(F.col("size") > direct).select("key", "id")
-        if level == LEVELS or left.isEmpty():
-            break
-        again = buckets.select(F.col("key").alias("other"), F.col("id").alias("oid"))
-        left = materialise(
-            left.join(again, (F.col("id") == F.col("oid")) & (F.col("key") < F.col("other"))).select(F.xxhash64("key", "other").alias("key"), "id"), "finer"
-        )
+    members = materialise(with_root(buckets.select("key", "id"), "id", "root"), "members")
+    sizes = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    members = materialise(members.join(sizes.select("key", "size"), "key").select("key", "id", "root", "size"), "members")
+    small, large = members.where(F.col("size") <= direct), members.where(F.col("size") > direct)
+    shared = small.groupBy("id").agg(F.collect_list("key").alias("open"))
+    pairs = materialise(_pairs_across(small.join(detail, "id").join(shared, "id"), percent), "pairs")
+    if not pairs.isEmpty():
+        links = links.unionAll(materialise(confirm(pairs, docs, k, percent), "links"))
+    if not large.isEmpty():
+        links = links.unionAll(materialise(confirm_groups(large.select("id", F.col("key").alias("group"), "root", "size"), docs, k, percent), "links"))
     roots = connected_components(links)
 
     named = materialise(with_root(classes, "id", "root").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "root"), "named")

@@ -81,6 +81,23 @@ def test_near_duplicates_equal_brute_force(spark, k, percent, direct):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_pairs_of_large_buckets_are_found(spark, monkeypatch):
+    """Buckets by hand: a pair that shares nothing but a large bucket, and one whose first band and largest key is a large bucket beside a small one."""
+    rng = random.Random(8)
+    texts = {i: prose(rng, 60) for i in range(16)}
+    texts[2], texts[12] = texts[1] + " end", texts[11] + " end"
+    keys = {i: [7] for i in range(6)} | {i: [100] for i in range(10, 16)} | {9: [50], 11: [100, 50], 12: [100, 50]}
+    table, real = spark.createDataFrame(list(keys.items()), "key_id long, by_hand array<long>"), neardup.sketches
+
+    def sketches(*args):
+        return real(*args).join(table, F.col("doc_id") == F.col("key_id")).select("doc_id", "n", "h1", "h2", F.col("by_hand").alias("keys"), "planes")
+
+    monkeypatch.setattr(neardup, "sketches", sketches)
+    docs = spark.createDataFrame([(i, texts[i]) for i in keys], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 85, direct=3).collect()}
+    assert got == jaccard_roots({i: texts[i] for i in keys}, 3, 85)[0] and (got[2], got[12]) == (1, 11)
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
