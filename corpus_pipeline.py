@@ -22,7 +22,7 @@ from lectern.llm import decontaminate, langid, neardup, pieces, toxicity
 from lectern.llm.common import materialise
 from lectern.llm.textvec import chunks
 
-TOXIC = 0.5
+TOXIC = toxicity.THRESHOLD
 
 
 def _filtered(docs: DataFrame, keep) -> DataFrame:

@@ -258,7 +258,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return Model(word, full, Trees().fit(x, y), at, to, rate)
 
 
-def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+#: A document that scores at least this is rejected, here and in the pipeline.
+THRESHOLD = 0.3
+
+
+def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted for every row of docs(doc_id, text, ...), repeated rows and null ids included; a null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -316,6 +316,17 @@ def test_pipeline_stages_equal_brute_force(spark):
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
 
 
+def test_toxicity_stage_rejects_what_the_operator_rejects(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    for rate in (0.29, 0.3, 0.4, 0.5):
+        model = toxicity.Model(np.empty(0, np.uint64), np.empty(0), None, np.empty(0), np.empty(0), rate)
+        monkeypatch.setattr(toxicity, "fit", lambda *_, model=model: model)
+        clean = {r.doc_id for r in toxicity.toxicity(docs, model).collect() if not r.predicted}
+        assert {r.doc_id for r in c.toxic(spark, docs, "/root/testdata/sf0.001").collect()} == clean
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     """Null and blank texts go in the first stage; equal texts leave one row; an empty table stays empty."""
     import corpus_pipeline as c
