@@ -8,7 +8,7 @@
    each pair of its blocks of about BLOCK texts is a task that counts all intersections as a product of incidence matrices and
    returns edges that span what is linked, never pairs. A text is sent as often as its group has blocks.
 4. Pairs that share a band but no group are generated once, at the least key that they share among the buckets of up to DIRECT classes, if sizes
-   and signatures allow a link (the estimate may be SLACK below the threshold, about three standard deviations). Larger buckets that hold several
+   and signatures allow a link (they drop a pair at the threshold ten times less often than banding does, see most_differing). Larger buckets that hold several
    groups are resolved by blocks like groups, whatever else their pairs share, so that no bucket is cut short.
 5. A pair is a link only if the full sets, rebuilt from the whole texts, pass the threshold.
 """
@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,6 @@ BANDS, ROWS = 26, 5
 BLOCK = 256
 #: Buckets of up to so many classes give pairs; larger ones are resolved by blocks.
 DIRECT = 2048
-#: How far below the threshold the similarity that signatures show may be.
-SLACK = 0.11
 #: Places of a signature that are compared, four bits of each in four planes of two words.
 PLACES = 128
 
@@ -202,8 +201,24 @@ def confirm_groups(nodes: DataFrame, docs: DataFrame, k: int, percent: int, bloc
     return sent.groupBy("group", "left", "right").applyInPandas(lambda part: _confirm_block(part, k, percent), "a long, b long")
 
 
-def _resemble(a: str, b: str, percent: int) -> Column:
-    """Whether the planes of both sides differ in few enough places; a place of different values agrees by chance once in 16."""
+def most_differing(percent: int, bands: int = BANDS, rows: int = ROWS) -> int:
+    """How many of PLACES may differ: the least number that a pair right at the threshold exceeds at most a tenth as often as it shares no band.
+
+    Places count as independent; a place of different values agrees by chance once in 16.
+    """
+    similar = percent / 100
+    p, missed = (1 - similar) * 15 / 16, (1 - similar**rows) ** bands / 10
+    tail, most = 0.0, PLACES
+    while most > 0:
+        tail += comb(PLACES, most) * p**most * (1 - p) ** (PLACES - most)
+        if tail > missed:
+            break
+        most -= 1
+    return most
+
+
+def _resemble(a: str, b: str, most: int) -> Column:
+    """Whether the planes of both sides differ in at most so many places."""
     words = []
     for w in (0, 1):
         differ = None
@@ -211,7 +226,7 @@ def _resemble(a: str, b: str, percent: int) -> Column:
             x = F.get(a, F.lit(2 * p + w)).bitwiseXOR(F.get(b, F.lit(2 * p + w)))
             differ = x if differ is None else differ.bitwiseOR(x)
         words.append(F.bit_count(differ))
-    return words[0] + words[1] <= int(PLACES * (1 - (percent / 100 - SLACK)) * 15 / 16)
+    return words[0] + words[1] <= most
 
 
 def _differing(a: str, b: str) -> Column:
@@ -222,10 +237,10 @@ def _fit(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _pairs_across(members: DataFrame, percent: int) -> DataFrame:
+def _pairs_across(members: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs within a key whose components differ and that sizes and signatures allow, each once. members: key, id, n, root, planes, open (all keys that the id has here)."""
     x, y = (members.select(F.col("key").alias(f"key{s}"), F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}"), F.col("planes").alias(f"p{s}"), F.col("open").alias(f"o{s}")) for s in "ab")
-    fits = (F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b")) & _fit(percent) & _resemble("pa", "pb", percent)
+    fits = (F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b")) & _fit(percent) & _resemble("pa", "pb", most)
     return x.join(y, (F.col("keya") == F.col("keyb")) & fits & (F.array_min(F.array_intersect("oa", "ob")) == F.col("keya"))).select("a", "b")
 
 
@@ -238,6 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     component of the documents with its text, if any, is never a component's name, and is not kept. Other columns of docs are ignored. An empty
     table gives an empty table.
     """
+    most = most_differing(percent, bands, rows)
     rows_ = materialise(sketches(docs, k, bands, rows), "sketches")
     classes = materialise(rows_.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id")), "classes")
     named = classes.where("id is not null").select(F.col("id").alias("cid"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
@@ -252,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     x, y = (detail.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("planes").alias(f"p{s}")) for s in "ab")
     spokes = buckets.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    tried = spokes.join(x, "a").join(y, "b").where(_fit(percent) & _resemble("pa", "pb", percent)).select("a", "b", _differing("pa", "pb").alias("differing"))
+    tried = spokes.join(x, "a").join(y, "b").where(_fit(percent) & _resemble("pa", "pb", most)).select("a", "b", _differing("pa", "pb").alias("differing"))
     tried = materialise(tried, "tried")
     best = materialise(tried.groupBy("a").agg(F.min(F.struct("differing", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
     links = materialise(confirm(best, docs, k, percent), "links")
@@ -276,7 +292,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members = materialise(members.join(sizes.select("key", "size"), "key").select("key", "id", "root", "size"), "members")
     small, large = members.where(F.col("size") <= direct), members.where(F.col("size") > direct)
     shared = small.groupBy("id").agg(F.collect_list("key").alias("open"))
-    pairs = materialise(_pairs_across(small.join(detail, "id").join(shared, "id"), percent), "pairs")
+    pairs = materialise(_pairs_across(small.join(detail, "id").join(shared, "id"), percent, most), "pairs")
     if not pairs.isEmpty():
         links = links.unionAll(materialise(confirm(pairs, docs, k, percent), "links"))
     if not large.isEmpty():

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -98,6 +99,17 @@ def test_pairs_of_large_buckets_are_found(spark, monkeypatch):
     assert got == jaccard_roots({i: texts[i] for i in keys}, 3, 85)[0] and (got[2], got[12]) == (1, 11)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_filter_misses_no_more_than_banding(spark, percent):
+    """Planes that differ in k places pass the filter, until pairs at the threshold that differ in more are rarer than pairs without a common band."""
+    p, banding = (1 - percent / 100) * 15 / 16, (1 - (percent / 100) ** neardup.ROWS) ** neardup.BANDS
+    rows = [(k, [0] * 8, [(1 << min(k, 63)) - 1, (1 << max(k - 63, 0)) - 1] + [0] * 6) for k in range(126)]
+    limit = neardup.most_differing(percent)
+    passed = {r.k for r in spark.createDataFrame(rows, "k int, a array<long>, b array<long>").where(neardup._resemble("a", "b", limit)).collect()}
+    assert passed == set(range(limit + 1))
+    assert sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(limit + 1, 129)) <= banding
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
