@@ -210,6 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "answer_conflicts": lambda s, d: questions.answer_conflicts(_prepared(s, d)),
         "dedup_summary": lambda s, d: questions.dedup_summary(_prepared(s, d)),
         "corpus_order": lambda s, d: questions.in_corpus_order(questions.usable(_records(s, d))).select("question_id").limit(50),
+        "corpus_order_all": lambda s, d: questions.in_corpus_order(questions.usable(_records(s, d))).select("question_id"),
         "inventory_union": lambda s, d: _candidates(s, d).groupBy("source_type", "extension").agg(F.count(F.lit(1)).alias("n")),
         "unified_corpus": lambda s, d: files.unified_corpus(_candidates(s, d)),
         "cross_source_duplicates": lambda s, d: files.cross_source_duplicates(_candidates(s, d)),
@@ -278,6 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "answer_conflicts": f"with {RECORDS_SQL} select fp as question_fingerprint, count(distinct norm_answer) as answers from prepared group by fp having count(distinct norm_answer) > 1",
         "dedup_summary": f"with {RECORDS_SQL}, g as (select fp, count(*) as n from prepared group by fp) select sum(n)::bigint as records, count(*) as unique_questions, count(*) filter (where n > 1) as duplicate_groups, sum(n - 1)::bigint as removed from g",
         "corpus_order": "select doc_id::varchar as question_id from documents where length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 10 order by 2000 + doc_id % 3, lang, text, doc_id::varchar limit 50",
+        "corpus_order_all": "select doc_id::varchar as question_id from documents where length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 10 order by 2000 + doc_id % 3, lang, text, doc_id::varchar",
         "inventory_union": f"with {FILES_SQL} select source_type, extension, count(*) as n from candidates group by all",
         "unified_corpus": f"with {FILES_SQL} select sha256, arg_min(source_type, (score, ord)) as canonical_source_type, arg_min(filename, (score, ord)) as canonical_filename, arg_min(extension, (score, ord)) as canonical_extension, arg_min(source_path, (score, ord)) as canonical_path, arg_min(size_bytes, (score, ord)) as size_bytes, count(*) as source_count, string_agg(source_path, ' | ' order by source_path) as all_sources from scored group by sha256",
         "cross_source_duplicates": f"with {FILES_SQL}, g as (select sha256, count(*) as source_count from candidates group by sha256 having count(distinct source_type) > 1) select sha256, source_count, source_type, filename, extension, source_path from candidates join g using (sha256)",

@@ -31,3 +31,9 @@ def test_query(spark, duck, name):
         want = duck.sql(Q.oracle_sql()[name])
         assert sorted(want.columns) == cols
         assert sorted(key(r) for r in want.select(*(f'"{c}"' for c in cols)).fetchall()) == rows
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_whole_corpus_in_order(spark, duck):
+    got = [r.question_id for r in Q.queries()["corpus_order_all"](spark, DATA).collect()]
+    assert len(got) > 50 and got == [r[0] for r in duck.sql(Q.oracle_sql()["corpus_order_all"]).fetchall()]
