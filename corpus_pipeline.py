@@ -1,10 +1,10 @@
 """Cleaning of a corpus in five stages, each of them an operator of lectern.llm, over documents(doc_id, text, lang, source, n_chars).
 
-1. language: documents without a language (null text, or no letter in it) go.
+1. language: documents without a language (null text, or no letter in it) go; if no language was learned, texts with letters stay.
 2. toxicity: documents that score at least TOXIC go; clean ones stay.
 3. near_duplicates: of each group one document stays, that with the smallest doc_id (5-word shingles, similarity of 0.8 or more).
 4. decontamination: documents that overlap a benchmark item go.
-5. encoding: what is left is encoded, and its encoding decoded.
+5. encoding: what is left is encoded, and its encoding decoded; ids and decoded text are returned beside their digests.
 
 Stages 1 to 4 return the columns of documents, the last one what it makes of them. Decisions bear a doc_id: rows with a null doc_id go in stage 1 and 2 by
 their text, and otherwise stay. Rows that repeat a doc_id are one document, and stay or go together.
@@ -40,7 +40,10 @@ def _filtered(docs: DataFrame, keep) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(langid.fit(docs))
+    model = langid.fit(docs)
+    if not model.langs:
+        return _filtered(docs, lambda texts: pa.array([langid.has_letter(x) for x in texts.to_pylist()], pa.bool_()))
+    shared = spark.sparkContext.broadcast(model)
     return _filtered(docs, lambda texts: pa.array([x != "und" for x in shared.value.predict(texts.to_pylist())[0]], pa.bool_()))
 
 
@@ -61,7 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_pieces(docs, pieces.default_model())
+    return pieces.encode_pieces(docs, pieces.default_model(), with_ids=True)
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("encoding", encoding)]

@@ -339,6 +339,18 @@ def test_toxicity_stage_rejects_what_the_operator_rejects(spark, monkeypatch):
         assert {r.doc_id for r in c.toxic(spark, docs, "/root/testdata/sf0.001").collect()} == clean
 
 
+def test_pipeline_without_known_languages_and_its_encoding(spark):
+    import corpus_pipeline as c
+
+    texts = {1: "one two", 2: "12 %", 3: None, 4: "Ünï 漢字"}
+    docs = spark.createDataFrame([(i, t, None) for i, t in texts.items()], "doc_id long, text string, lang string")
+    left = c.language(spark, docs, "")
+    got = {r.doc_id: r for r in c.encoding(spark, left, "").collect()}
+    assert set(got) == {1, 4}
+    for i, r in got.items():
+        assert len(r.ids) == r.n_tokens and r.decoded == texts[i]
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     """Null and blank texts go in the first stage; equal texts leave one row; an empty table stays empty."""
     import corpus_pipeline as c
