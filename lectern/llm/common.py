@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Size in bits of the id filter. Its broadcast has at most FILTER_BITS / 64 rows of 16 bytes, whatever the input.
-FILTER_BITS = 1 << 22
+#: Sizes in bits of an id filter. Its broadcast has at most MOST_BITS / 64 rows of 16 bytes (16 MB), whatever the input.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+
+#: Paths of tables written within the open scopes of scratch(), innermost last.
+_scopes: list[set[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
     os.makedirs(path, exist_ok=True)
@@ -35,32 +41,85 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by materialise(); only for tables that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in _folders(df):
         if "/lectern-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end the tables that were materialised within, but for those of the frames that the body appends to the yielded list.
+
+    What is kept belongs to the enclosing scope, if there is one. Use it from one thread at a time.
+    """
+    keep: list[DataFrame] = []
+    _scopes.append(set())
+    try:
+        yield keep
+    finally:
+        mine = _scopes.pop()
+        names = {path.rsplit("/", 1)[1] for df in keep for path in _folders(df)}
+        for path in mine:
+            if path.rsplit("/", 1)[1] not in names:
+                delete(spark, path)
+            elif _scopes:
+                _scopes[-1].add(path)
+
+
+def smallest_hashes(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The `most` rows with the smallest hashes of a column, ties by the other columns: a sample that does not depend on partitions.
+
+    A threshold leaves little more than the sample before the top is taken, so that what reaches the driver does not grow with the partitions.
+    df has few and small columns; it is written once, and read three times. Collect the result within the scope in which this is called.
+    """
+    df = materialise(df, "keys")
+    total = df.count()
+    key = F.xxhash64(column)
+    least, span, share = -(1 << 63), 1 << 64, 1.25 * (most + 1000) / max(total, 1)
+    while share < 1:
+        near = df.where(key < F.lit(least + int(span * share)))
+        if near.count() >= most:
+            df = near
+            break
+        share *= 2
+    return df.orderBy(key, column, *(c for c in df.columns if c != column)).limit(most)
 
 
 def id_bits(ids: DataFrame, column: str) -> DataFrame:
-    """A Bloom filter with one hash as a table (word, bits) of at most FILTER_BITS / 64 rows."""
-    at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    """A Bloom filter with one hash as a table (word, bits), of 16 bits per id, but of MOST_BITS at most."""
+    total = ids.count()
+    size = LEAST_BITS
+    while size < min(16 * total, MOST_BITS):
+        size *= 2
+    at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size))
     return (
         ids.select(F.floor(at / 64).cast("int").alias("word"), F.expr("1L").alias("one"), (at % 64).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
+        .withMetadata("word", {"size": size})
     )
 
 
 def flag_among(df: DataFrame, column: str, bits: DataFrame, flag: str) -> DataFrame:
     """df with a boolean column: false only for ids that are surely not in the filter."""
-    at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    size = bits.schema["word"].metadata["size"]
+    at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size))
     small = F.broadcast(bits.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))
     return (
         df.withColumn("__at", at)
@@ -125,4 +184,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for layer in layers[1:]:
         nxt = layer.select(F.col("v").alias("u"), F.col("p").alias("pp"))
         out = out.join(nxt, out.root == nxt.u, "left").select("node", F.coalesce("pp", "root").alias("root"))
-    return materialise(out, "roots")
+    out = materialise(out, "roots")
+    for used in [e, *layers]:
+        discard(used)
+    return out
