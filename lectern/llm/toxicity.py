@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import scratch, smallest_hashes
 from lectern.llm.textvec import ALNUM, U, chunks, words
 
 #: The fit uses at most so many labelled documents, those with the smallest hashes of their ids, with whole texts.
@@ -209,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sample = known.join(texts.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(train_rows).toPandas()
+    with scratch(spark):
+        sample = smallest_hashes(known.join(texts.select("id"), "id", "left_semi"), "id", train_rows).toPandas()
     y_all = sample["toxic"].to_numpy(int) if len(sample) else np.zeros(0, int)
     rate = float(y_all.mean()) if len(y_all) else 0.0
     none = Model(np.empty(0, U), np.empty(0), None, np.empty(0), np.empty(0), rate)
@@ -263,7 +265,10 @@ THRESHOLD = 0.3
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted for every row of docs(doc_id, text, ...), repeated rows and null ids included; a null text counts as empty."""
+    """doc_id, score, predicted for every row of docs(doc_id, text, ...), repeated rows and null ids included; a null text counts as empty.
+
+    A text of any length is scored as a whole. Equal texts have equal scores. An empty table gives an empty one; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
