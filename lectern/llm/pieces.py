@@ -65,13 +65,13 @@ class PieceModel:
                 reached.append(i)
         self.automaton = ahocorasick.Automaton()
         for i in reached:
-            self.automaton.add_word(self.text[i], i << 5 | len(self.text[i]))
+            self.automaton.add_word(self.text[i], i << 16 | len(self.text[i]))
         self.automaton.make_automaton()
         self.joined = {(a, b): self.rank[i] for i in self.text for a, b in self._splits(self.text[i])}
         self.fits: dict[int, bool] = {}
         self.size = [len(p.piece) for p in proto.pieces]
-        if len(self.size) > 1 << 15 or max(self.size) > 31:
-            raise ValueError("more than 32768 pieces, or one of more than 31 characters")
+        if len(self.size) > 1 << 24 or max(self.size) > 0xFFFF:
+            raise ValueError("more than 16 million pieces, or one of more than 65535 characters")
         self.cache: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
         self.piece_bytes = [p.piece.replace(MARK, " ").encode() if p.type == 1 else bytes([self.byte_of[i]]) if p.type == 6 else b"" for i, p in enumerate(proto.pieces)]
@@ -116,7 +116,7 @@ class PieceModel:
                 right_limit, b = rb, hb[0]
         if len(self.fits) > 1_000_000:
             self.fits.clear()
-        self.fits[left << 15 | right] = fine
+        self.fits[left << 24 | right] = fine
         return fine
 
     def word_ids(self, word: str) -> list[int]:
@@ -126,12 +126,12 @@ class PieceModel:
         for end, match in self.automaton.iter(word):
             end += 1
             if last[end] < 0:
-                before = last[end - (match & 31)]
+                before = last[end - (match & 0xFFFF)]
                 if before < 0:
-                    last[end] = match >> 5
+                    last[end] = match >> 16
                 else:
-                    token = match >> 5
-                    fine = known(before << 15 | token)
+                    token = match >> 16
+                    fine = known(before << 24 | token)
                     if compatible(before, token) if fine is None else fine:
                         last[end] = token
         out: list[int] = []
@@ -183,10 +183,11 @@ class PieceModel:
 _models: dict[str, PieceModel] = {}
 
 
-def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded for every row of docs(doc_id, text, ...).
+def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded for every row of docs(doc_id, text, ...), and the columns to carry.
 
-    A null text counts as empty, whose ids are begin and end. Repeated rows and null ids are encoded like others.
+    A null text counts as empty, whose ids are begin and end. Repeated rows and null ids are encoded like others. The columns to carry may not have
+    the names of results; other columns are ignored. A text of any length is encoded as a whole, in memory linear in it. An empty table gives an empty one.
     """
     content = Path(model_path).read_bytes()
     shared, key = docs.sparkSession.sparkContext.broadcast(content), hashlib.sha256(content).hexdigest()
@@ -212,10 +213,10 @@ def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False) -> D
                 if with_ids:
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                     names += ["ids", "decoded"]
-                yield pa.record_batch(columns, names=names)
+                yield pa.record_batch([*columns, *part.columns[2:]], names=[*names, *carry])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).mapInArrow(encode, schema)
 
 
 def default_model() -> str:
