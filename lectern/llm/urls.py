@@ -47,13 +47,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
+def _grams(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the bucket of the n-gram that ends at each byte, and whether it lies within one text."""
     c = LOWER[data].astype(U)
+    place = np.arange(len(c)) - np.repeat(offs[:-1], np.diff(offs))
     h = np.zeros(len(c), U)
     for n in range(max(ORDERS)):
         h = h * U(0x9E3779B97F4A7C15) + np.concatenate((np.zeros(n, U), c))[: len(c)] + U(1)
         if n + 1 in ORDERS:
-            yield ((h * U(0xD6E8FEB86659FD93)) >> U(64 - BITS)).astype(np.int64)
+            yield ((h * U(0xD6E8FEB86659FD93)) >> U(64 - BITS)).astype(np.int64), place >= n
 
 
 def texts(host: pa.Array, path: pa.Array) -> pa.Array:
@@ -69,7 +71,7 @@ class Model:
         """Probability that a URL is to be blocked."""
         out = [np.empty(0)]
         for _, data, offs in chunks(texts(host, path)):
-            z = sum(np.add.reduceat(self.weight[g], offs[:-1]) for g in _grams(data)) / np.sqrt(np.diff(offs)) + self.bias
+            z = sum(np.add.reduceat(np.where(inside, self.weight[g], 0), offs[:-1]) for g, inside in _grams(data, offs)) / np.sqrt(np.diff(offs)) + self.bias
             out.append(1 / (1 + np.exp(-z)))
         return np.concatenate(out)
 
@@ -80,8 +82,8 @@ def fit(table: list[tuple[str, str, int]], steps: int = 400, rate: float = 1.0,
     x = np.zeros((len(table), 1 << BITS))
     for lo, data, offs in chunks(column):
         own = np.repeat(np.arange(lo, lo + len(offs) - 1), np.diff(offs))
-        for g in _grams(data):
-            np.add.at(x, (own, g), 1 / np.sqrt(np.diff(offs)[own - lo]))
+        for g, inside in _grams(data, offs):
+            np.add.at(x, (own[inside], g[inside]), 1 / np.sqrt(np.diff(offs)[own[inside] - lo]))
     y = np.array([r[2] for r in table], float)
     w, b = np.zeros(1 << BITS), 0.0
     for _ in range(steps if len(table) else 0):
@@ -94,7 +96,8 @@ def fit(table: list[tuple[str, str, int]], steps: int = 400, rate: float = 1.0,
 def judge(pages: DataFrame, rules=RULES, model: Model | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of pages(page_id, url, ...).
 
-    A null url or one without :// has an empty host and path, which no rule fits; the method judges it. Repeated rows, null ids: one result each.
+    A null url or one without :// has an empty host and path, which no rule fits; the method judges it. Repeated rows, null ids: one result each, and
+    equal urls equal ones. A url of any length is judged as a whole. An empty table gives an empty one; other columns are ignored.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or fit(labelled_urls()))
     host, path = host_of(F.col("url").cast("string")), path_of(F.col("url").cast("string"))
