@@ -6,7 +6,8 @@
    that its signature resembles most: that alone unites most of a group, and all that follows looks only across components.
 3. Classes that resemble a common hub form a group, and a group that is still in several components is resolved by blocks:
    each pair of its blocks of about BLOCK texts is a task that counts all intersections as a product of incidence matrices and
-   returns edges that span what is linked, never pairs. A text is sent as often as its group has blocks.
+   returns edges that span what is linked, never pairs. A component of BLOCK texts or more has blocks of its own, which are not paired with each
+   other: in a group that its hub has united but for a few texts, only these few meet all others.
 4. Pairs that share a band but no group are generated once, at the least key that they share among the buckets of up to DIRECT classes, if sizes
    and signatures allow a link (they drop a pair at the threshold ten times less often than banding does, see most_differing). Larger buckets that hold several
    groups are resolved by blocks like groups, whatever else their pairs share, so that no bucket is cut short.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import connected_components, discard, id_bits, materialise, maybe_among, spanning_edges
+from lectern.llm.common import connected_components, discard, id_bits, materialise, maybe_among, scratch, spanning_edges
 from lectern.llm.textvec import U, chunks, mix, shingle_sets
 
 BANDS, ROWS = 26, 5
@@ -191,13 +192,25 @@ def _confirm_block(part: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
 
 
 def confirm_groups(nodes: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Edges that span the links across roots within each group. nodes: id, group, root, size (of the group)."""
+    """Edges that span the links across roots within each group. nodes: id, group, root."""
+    per = nodes.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    # Roots of a block or more have blocks to themselves; the others of a group share blocks, whose root is null.
+    alone = F.when(F.col("n") >= block, F.col("root"))
+    shares = materialise(per.groupBy("group", alone.alias("alone")).agg(F.sum("n").alias("n")).select("group", "alone", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "shares")
+    name = lambda part: F.xxhash64(F.coalesce("alone", F.lit(0)), F.col("alone").isNull(), part)
+    listed = shares.select("group", "alone", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).select("group", "alone", name(F.col("part")).alias("block"))
+    x, y = (listed.select(F.col("group").alias(f"g{s}"), F.col("alone").alias(f"alone{s}"), F.col("block").alias(f"block{s}")) for s in "xy")
+    differ = ~F.coalesce(F.col("alonex") == F.col("aloney"), F.lit(False))
+    met = x.join(y, (F.col("gx") == F.col("gy")) & (F.col("blockx") <= F.col("blocky")) & differ).select(F.col("gx").alias("g"), F.col("blockx").alias("left"), F.col("blocky").alias("right"))
+    sides = materialise(met.select("g", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("side")), "met")
+    big = shares.select(F.col("group").alias("bg"), F.col("alone").alias("bigroot"), F.col("blocks").alias("bigblocks")).where("bigroot is not null")
+    rest = shares.where("alone is null").select(F.col("group").alias("rg"), F.col("blocks").alias("restblocks"))
+    own = nodes.select("id", "group", "root").join(big, (F.col("group") == F.col("bg")) & (F.col("root") == F.col("bigroot")), "left").join(rest, F.col("group") == F.col("rg"), "left")
+    own = own.withColumn("alone", F.col("bigroot")).withColumn("own", name(F.pmod(F.xxhash64("id"), F.coalesce("bigblocks", "restblocks")).cast("int"))).select("id", "group", "root", "own")
+    sent = own.join(sides, (F.col("group") == F.col("g")) & (F.col("own") == F.col("side"))).select("id", "group", "root", "left", "right")
     texts = docs.select(F.col("doc_id").cast("long").alias("tid"), F.col("text").cast("string").alias("text")).where("text is not null")
     texts = maybe_among(texts, "tid", id_bits(nodes, "id"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = nodes.select("id", "group", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
-    sent = texts.join(own, F.col("tid") == F.col("id")).select("id", "group", "root", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sent = sent.select("id", "group", "root", "text", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
+    sent = texts.join(sent, F.col("tid") == F.col("id")).select("id", "group", "root", "text", "left", "right")
     return sent.groupBy("group", "left", "right").applyInPandas(lambda part: _confirm_block(part, k, percent), "a long, b long")
 
 
@@ -253,6 +266,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     component of the documents with its text, if any, is never a component's name, and is not kept. Other columns of docs are ignored. An empty
     table gives an empty table.
     """
+    with scratch(docs.sparkSession) as keep:
+        out = materialise(_components(docs, k, percent, bands, rows, direct), "near-duplicates")
+        keep.append(out)
+    return out
+
+
+def _components(docs: DataFrame, k: int, percent: int, bands: int, rows: int, direct: int) -> DataFrame:
     most = most_differing(percent, bands, rows)
     rows_ = materialise(sketches(docs, k, bands, rows), "sketches")
     classes = materialise(rows_.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id")), "classes")
@@ -281,10 +301,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # Groups: classes that resemble a common hub, directly or over others.
     groups = connected_components(tried)
     nodes = materialise(with_root(groups.select(F.col("node").alias("id"), F.col("root").alias("group")), "id", "root"), "grouped")
-    open_ = nodes.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    open_ = materialise(open_.select(F.col("group").alias("g"), "size"), "open")
+    open_ = nodes.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_ = materialise(open_.select(F.col("group").alias("open")), "open")
     if not open_.isEmpty():
-        links = links.unionAll(materialise(confirm_groups(nodes.join(open_, F.col("group") == F.col("g")).select("id", "group", "root", "size"), docs, k, percent), "links"))
+        links = links.unionAll(materialise(confirm_groups(materialise(nodes.join(open_, F.col("group") == F.col("open")).select("id", "group", "root"), "nodes"), docs, k, percent), "links"))
 
     roots = groups
     members = materialise(with_root(buckets.select("key", "id"), "id", "root"), "members")
@@ -296,7 +316,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     if not pairs.isEmpty():
         links = links.unionAll(materialise(confirm(pairs, docs, k, percent), "links"))
     if not large.isEmpty():
-        links = links.unionAll(materialise(confirm_groups(large.select("id", F.col("key").alias("group"), "root", "size"), docs, k, percent), "links"))
+        links = links.unionAll(materialise(confirm_groups(large.select("id", F.col("key").alias("group"), "root"), docs, k, percent), "links"))
     roots = connected_components(links)
 
     named = materialise(with_root(classes, "id", "root").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "root"), "named")
