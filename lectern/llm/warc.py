@@ -1,9 +1,10 @@
 """WARC archives with segmented records and chunked transfer coding: writing, reading, reassembly.
 
 Archives are written by Spark's own committer, a record a row, so that a lost executor leaves no half file; a file holds at most RECORDS
-records of at most SEGMENT bytes of content, and so has a bounded size. Reading parses whole files of that size by the records' lengths.
-Segments of a record may lie in different files: they are grouped by the identifier of their first record, ordered by segment number, checked
-against the total length, joined, and their chunks are decoded.
+records of at most SEGMENT bytes of content, and so has a bounded size. Each record is a gzip member of its own, so that a reader can seek to it; an
+empty member stands between two, since Spark's text writer puts something between rows (that writer also gives the files their names). Reading parses each
+file once. Segments of a record may lie in different files: they are grouped by the identifier of their first record, ordered by segment
+number, checked against the total length, joined, and their chunks are decoded. What is broken is a row with an error, and does not end the reading.
 """
 
 from __future__ import annotations
@@ -18,12 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import flag_among, id_bits, materialise, new_path
+from lectern.llm.common import delete, flag_among, id_bits, materialise, new_path, scratch
 
 SEGMENT = 32 << 10  # content bytes of a record
 CHUNK = 8 << 10  # bytes of a chunk of the transfer coding
 RECORDS = 256  # records of a file
 END = b"\r\n\r\n"
+MEMBER = b"\x1f\x8b\x08"
+
+
+def member(content: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(content) + packer.flush()
+
+
+EMPTY = member(b"")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -44,6 +54,8 @@ def unchunked(body: bytes) -> bytes:
         if line < 0:
             raise ValueError("a chunk has no size")
         size = int(body[at:line].partition(b";")[0], 16)
+        if size < 0:
+            raise ValueError("a chunk has no size")
         if not size:
             return b"".join(out)
         at = line + 2
@@ -82,24 +94,40 @@ def records_of(page_id: int, url: str | None, payload: bytes, refers_to: int | N
             yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{sha}:{k}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(k)), *last], part)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, content) of each record of an archive."""
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(fields by lower-case name, content) of a record with its closing line ends."""
+    stop = data.find(END)
+    if data[:5] != b"WARC/" or stop < 0:
+        raise ValueError("not a record")
+    lines = data[:stop].decode().split("\r\n")[1:]
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    size = int(fields["content-length"])
+    content = data[stop + 4 : stop + 4 + size]
+    if size < 0 or len(content) < size:
+        raise ValueError("a record is cut off")
+    if data[stop + 4 + size :] != END:
+        raise ValueError("a record does not end where it should")
+    return fields, content
+
+
+def members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """(content, null) of each gzip member that is not empty, or (empty, error) for one that is broken, behind which reading goes on at the next member."""
     at = 0
     while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError("not a record")
-        stop = data.index(END, at)
-        lines = data[at:stop].decode().split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields["content-length"])
-        content = data[stop + 4 : stop + 4 + size]
-        if len(content) < size:
-            raise ValueError("a record is cut off")
-        yield fields, content
-        at = stop + 4 + size
-        if data[at : at + 4] != END:
-            raise ValueError("a record does not end")
-        at += 4
+        reader = zlib.decompressobj(31)
+        try:
+            content = reader.decompress(data[at:])
+            if not reader.eof:
+                raise zlib.error("a member is cut off")
+        except zlib.error as error:
+            yield b"", f"{type(error).__name__}: {error}"
+            at = data.find(MEMBER, at + 1)
+            if at < 0:
+                return
+            continue
+        if content:
+            yield content, None
+        at = len(data) - len(reader.unused_data)
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records: int = RECORDS) -> None:
@@ -111,8 +139,8 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records:
             for row in zip(*batch.columns, strict=True):
                 page, url, payload, refers = (x.as_py() for x in row)
                 for r in records_of(page, url, payload or b"", refers, segment):
-                    out.append(r)
-                    size += len(r)
+                    out.append(member(r + END))
+                    size += len(out[-1])
                 if size > 4 << 20:
                     yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
                     out, size = [], 0
@@ -120,7 +148,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records:
 
     # A cast from binary keeps the bytes as they are, and the text writer writes them as they are.
     rows = pages.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
-    rows.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    rows.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records).text(path)
 
 
 _ID = re.compile(r"<urn:page:(-?\d+):([A-Z2-7]{32})>")
@@ -142,32 +170,61 @@ def _finish(name: str, refers: str | None, declared: str, content: bytes) -> tup
     return int(page), len(payload), sha, "response", None
 
 
-RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-_RESULT = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
+_RESULT = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("error", pa.string())])
+_PARTS = "origin string, number long, total long, declared string, content binary"
+_PARSED = pa.schema([*_RESULT, ("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("declared", pa.string()), ("content", pa.binary())])
+
+
+def _failed(name: str | None, error: Exception | str) -> tuple:
+    page = _ID.fullmatch(name or "")
+    return int(page[1]) if page else None, None, None, None, None, error if isinstance(error, str) else f"{type(error).__name__}: {error}"
+
+
+def _result(name: str | None, refers: str | None, declared: str | None, content: bytes) -> tuple:
+    try:
+        return *_finish(name, refers, declared, content), None
+    except (ValueError, KeyError, AttributeError, TypeError) as error:
+        return _failed(name, error)
+
+
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _parsed(data: bytes) -> Iterator[tuple]:
+    """Results of whole records, and segments, whose origin is not null."""
+    for record_bytes, error in members(data):
+        name = None
+        try:
+            if error is not None:
+                raise ValueError(error)
+            fields, content = parse(record_bytes)
+            name = fields.get("warc-record-id")
+            number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+            if number is not None:
+                origin = fields.get("warc-segment-origin-id", name)
+                if origin is None:
+                    raise ValueError("a segment has no origin")
+                yield (None,) * 6 + (origin, int(number), int(total) if total else None, fields.get("warc-payload-digest"), content)
+            else:
+                yield _result(name, fields.get("warc-refers-to"), fields.get("warc-payload-digest"), content) + (None,) * 5
+        except (ValueError, KeyError) as problem:
+            yield _failed(name, problem) + (None,) * 5
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record that is whole or has all its segments.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, error of every record that is whole or has segments.
 
-    A missing segment, a wrong total length, a broken chunk and a wrong digest are errors.
+    error is null for a good record. A missing or repeated segment, a wrong total length, a broken chunk, a wrong digest, a record that is cut off and a broken
+    member give one row each with the error, the page_id as far as it is known, and nulls. An empty folder gives an empty table.
     """
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                rows = []
-                for f, content in parse(zlib.decompress(x.as_py(), 31)):
-                    number = f.get("warc-segment-number")
-                    total = f.get("warc-segment-total-length")
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(number) if number else None, int(total) if total else None, f.get("warc-payload-digest"), f.get("warc-refers-to"), content))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["origin", "number", "total", "declared", "refers", "content"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_finish(n.as_py(), r.as_py(), d.as_py(), c.as_py()) for n, d, r, c in zip(*(batch.column(k) for k in ("origin", "declared", "refers", "content")), strict=True)]
-            yield pa.RecordBatch.from_pylist([dict(zip(_RESULT.names, r, strict=True)) for r in rows], schema=_RESULT)
+                yield _rows(_PARSED, list(_parsed(x.as_py())))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,16 +232,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for origin, parts in zip(batch.column("origin").to_pylist(), batch.column("parts"), strict=True):
                 parts = sorted(parts.as_py(), key=lambda p: p["number"])
                 content = b"".join(p["content"] for p in parts)
-                if [p["number"] for p in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] != len(content):
-                    raise ValueError(f"segments of {origin} are missing")
-                rows.append(_finish(origin, None, parts[0]["declared"], content))
-            yield pa.RecordBatch.from_pylist([dict(zip(_RESULT.names, r, strict=True)) for r in rows], schema=_RESULT)
-
-    schema = "origin string, number long, total long, declared string, refers string, content binary"
-    read = spark.read.format("binaryFile").load(path).select("content").mapInArrow(segments, schema)
-    alone = read.where("number is null").mapInArrow(whole, RESULT)
-    parts = read.where("number is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "declared", "content")).alias("parts"))
-    return alone.unionAll(parts.mapInArrow(joined, RESULT))
+                if [p["number"] for p in parts] != list(range(1, len(parts) + 1)) or parts[-1]["total"] is None:
+                    rows.append(_failed(origin, "ValueError: a segment is missing or comes twice"))
+                elif parts[-1]["total"] != len(content):
+                    rows.append(_failed(origin, "ValueError: the segments do not have the total length"))
+                else:
+                    rows.append(_result(origin, None, parts[0]["declared"], content))
+            yield _rows(_RESULT, rows)
+
+    with scratch(spark) as keep:
+        read = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parsed, f"{RESULT}, {_PARTS}")
+        # Archives are parsed once; of whole records only the result is written, of segments the content.
+        read = materialise(read, "parsed")
+        alone = read.where("origin is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+        parts = read.where("origin is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "declared", "content")).alias("parts"))
+        out = materialise(alone.unionAll(parts.mapInArrow(joined, RESULT)), "records")
+        keep.append(out)
+    return out
 
 
 def archive(pages: DataFrame, path: str, least: int = 0) -> None:
@@ -193,6 +257,11 @@ def archive(pages: DataFrame, path: str, least: int = 0) -> None:
     A null html is empty. Rows without a page_id have no name in an archive and are left out; rows that repeat both page_id and html are one record.
     Other columns are ignored.
     """
+    with scratch(pages.sparkSession):
+        _archive(pages, path, least)
+
+
+def _archive(pages: DataFrame, path: str, least: int) -> None:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     keyed = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("key", F.xxhash64("sha"))
@@ -214,7 +283,9 @@ def archive(pages: DataFrame, path: str, least: int = 0) -> None:
 def op9_warc_segments(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archives(spark, path)
+    out = read_archives(spark, path)
+    delete(spark, path)
+    return out
 
 
 OP9_SQL = """
@@ -223,6 +294,6 @@ named as (select page_id, strlen(payload) as n, sha1(payload) as hex, max(page_i
 select page_id, n::bigint as payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     ((('0x' || substr(hex, (i // 4 * 5 + 1)::bigint, 5))::int >> (15 - i % 4 * 5)::int) & 31) + 1, 1)), '') as payload_digest,
-  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, null::varchar as error
 from named
 """
