@@ -1,13 +1,15 @@
 """Cleaning of a corpus in five stages, each of them an operator of lectern.llm, over documents(doc_id, text, lang, source, n_chars).
 
-1. language: documents without a language (null text, or no letter in it) go; if no language was learned, texts with letters stay.
+1. language: documents for which no language is likelier than all others together go, those without a letter among them; if no language was
+   learned, texts with letters stay.
 2. toxicity: documents that score at least TOXIC go; clean ones stay.
 3. near_duplicates: of each group one document stays, that with the smallest doc_id (5-word shingles, similarity of 0.8 or more).
 4. decontamination: documents that overlap a benchmark item go.
 5. encoding: what is left is encoded, and its encoding decoded; ids and decoded text are returned beside their digests.
 
 Stages 1 to 4 return the columns of documents, the last one what it makes of them. Decisions bear a doc_id: rows with a null doc_id go in stage 1 and 2 by
-their text, and otherwise stay. Rows that repeat a doc_id are one document, and stay or go together.
+their text, and otherwise stay. Rows that repeat a doc_id are one document, and stay or go together. run() deletes what a stage wrote once the next one is
+written; what it returns reads the last of these tables. An empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, langid, neardup, pieces, toxicity
-from lectern.llm.common import materialise
+from lectern.llm.common import discard, materialise, scratch
 from lectern.llm.textvec import chunks
 
 TOXIC = toxicity.THRESHOLD
@@ -44,7 +46,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.langs:
         return _filtered(docs, lambda texts: pa.array([langid.has_letter(x) for x in texts.to_pylist()], pa.bool_()))
     shared = spark.sparkContext.broadcast(model)
-    return _filtered(docs, lambda texts: pa.array([x != "und" for x in shared.value.predict(texts.to_pylist())[0]], pa.bool_()))
+    return _filtered(docs, lambda texts: pa.array([langid.accepted(x, p) for x, p in zip(*shared.value.predict(texts.to_pylist()), strict=True)], pa.bool_()))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hit = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = materialise(hit.select(F.col("doc_id").alias("__gone")).distinct(), "hit")
+    hit = hit.select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(hit, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
@@ -74,7 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with scratch(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            if before is not None:
+                discard(before)
+            before = docs
+        keep.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
