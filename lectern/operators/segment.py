@@ -1,13 +1,13 @@
-"""Documents' lines to questions.
+"""Documents' lines to questions, as two relational plans.
 
-v1 is a relational plan: what a line is depends on it alone, so that questions are runs of lines between starts, and context is carried
-forward by windows. v2 keeps an open group and item whose treatment of a line depends on what came before; it is a fold per document
-over lines that were classified by column functions. Both are per document, and so spread over documents without skew beyond the longest one.
+v1: what a line is depends on it alone, so that questions are runs of lines between starts, and context is carried forward by windows.
+v2: a group, once it has an item, keeps one open until it ends. So a group has two phases, and the role of each line follows from
+where its first standalone question (s0) and its first item (p) are; numbers of items and questions are running counts. A window over a document's
+lines is one shuffle by document, and the longest document bounds a task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +30,15 @@ def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.where("text <> ''")
 
 
-def segment_v1(lines: DataFrame, competition: str = "quiz") -> DataFrame:
-    """One row per question of the first grammar."""
+def _document() -> tuple:
+    """Windows over a document's lines: in order, and up to each line."""
     doc = Window.partitionBy("document_id").orderBy("block")
-    so_far = doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return doc, doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def carried_v1(lines: DataFrame) -> DataFrame:
+    """Lines with their kind and the context of the first grammar that holds at them: c_round(round, label), c_contest(contest, label), c_section(v), c_preamble(v), c_subject."""
+    _, so_far = _document()
     c = F.col("text")
     x = lines.withColumn("kind", L.v1_kind(c))
     kind = F.col("kind")
@@ -43,7 +48,14 @@ def segment_v1(lines: DataFrame, competition: str = "quiz") -> DataFrame:
     section = F.when(kind == "ROUND", F.struct(F.lit(None).cast("string").alias("v"))).when(kind == "SPECIAL", F.struct(L.v1_section(c).alias("v")))
     preamble = F.when(kind.isin("ROUND", "CONTEST"), F.struct(F.lit(None).cast("string").alias("v"))).when(kind == "PREAMBLE", F.struct(F.nullif(F.trim(F.regexp_extract(c, L.V1_PREAMBLE, 1)), F.lit("")).alias("v")))
     carried = {"c_round": rnd, "c_contest": contest, "c_section": section, "c_preamble": preamble, "c_subject": F.when(kind == "SUBJECT", L.v1_subject(c))}
-    x = x.select("*", *(F.last(v, ignorenulls=True).over(so_far).alias(k) for k, v in carried.items()))
+    return x.select("*", *(F.last(v, ignorenulls=True).over(so_far).alias(k) for k, v in carried.items()))
+
+
+def segment_v1(lines: DataFrame, competition: str = "quiz") -> DataFrame:
+    """One row per question of the first grammar."""
+    doc, so_far = _document()
+    c, kind = F.col("text"), F.col("kind")
+    x = carried_v1(lines)
     closes = kind.isin("ROUND", "CONTEST", "SPECIAL")
     x = x.withColumn("q", F.sum((kind == "Q").cast("int")).over(so_far)).withColumn("closed", F.last(F.when(kind == "Q", False).when(closes, True), ignorenulls=True).over(so_far))
     x = x.withColumn("last_block", F.max("block").over(Window.partitionBy("document_id"))).withColumn("next_end", F.min(F.when((kind == "Q") | closes, F.col("block"))).over(doc.rowsBetween(1, Window.unboundedFollowing)))
@@ -86,97 +98,90 @@ def classified(lines: DataFrame, strict: bool = False) -> DataFrame:
     return x.select("document_id", "block", "text", "images", first_year(path).alias("path_year"), subject_hint(path).alias("path_subject"), *(v.alias(k) for k, v in L.v2_fields(F.col("text"), strict).items()))
 
 
-class _Fold:
-    """The open group of a document, and the rows of those that were closed."""
-
-    def __init__(self, document_id, year, subject):
-        self.document_id, self.year, self.subject = document_id, year, subject
-        self.contest = self.round = self.section = None
-        self.rows: list[dict] = []
-        self.number, self.group = 0, None
-
-    def open(self, block):
-        if self.group is None:
-            self.group = {"type": self.section or "standard", "year": self.year, "contest": self.contest, "round": self.round, "subject": self.subject, "prompt": None, "items": [], "alone": [], "start": block}
-        return self.group
-
-    def close(self, block):
-        g, self.group = self.group, None
-        if g is None:
-            return
-        if g["items"]:
-            g["items"][-1]["end_block"] = block
-        if not (g["items"] or g["alone"] or g["prompt"]):
-            return
-        self.number += 1
-        common = {"document_id": self.document_id, "group": self.number, "group_type": g["type"], "year": g["year"], "contest": g["contest"], "round": g["round"], "subject": g["subject"], "prompt": g["prompt"], "group_start": g["start"], "group_end": block}
-        self.rows.append({**common, "kind": "group"})
-        for kind in ("item", "alone"):
-            self.rows += [{**common, "kind": kind, "ordinal": k, **x} for k, x in enumerate(g["items" if kind == "item" else "alone"], 1)]
-
-    def line(self, r):
-        if r.is_round:
-            self.close(r.block - 1)
-            self.contest = self.contest if pd.isna(r.round_contest) else int(r.round_contest)
-            self.round, self.section = r.round, r.round_section
-        elif r.is_contest:
-            self.close(r.block - 1)
-            self.contest = int(r.contest)
-        elif r.line_subject is not None:
-            self.subject = r.line_subject
-        else:
-            self.content(r, self.group)
-
-    def content(self, r, g):
-        # An item, once there is one, stays open until its group ends.
-        target = None if g is None else g["items"][-1] if g["items"] else g["alone"][-1] if g["alone"] else None
-        if target is not None and r.answer is not None:
-            target["answer"] = r.answer
-        elif target is not None and r.solution is not None:
-            target["solution"] = r.solution
-        elif r.item_number is not None:
-            g = self.open(r.block)
-            if g["items"]:
-                g["items"][-1]["end_block"] = r.block - 1
-            g["items"].append({"number": r.item_number, "question": r.item_text, "answer": None, "solution": None, "images": list(r.images), "start_block": r.block, "end_block": None})
-        elif g is not None and g["items"]:
-            x = g["items"][-1]
-            x["question"] = f"{x['question']} {r.text}".strip()
-            if not (g["type"] == "riddle" and r.is_who):
-                x["images"] += list(r.images)
-        elif g is not None and g["type"] == "riddle" and r.is_who:
-            g["prompt"] = r.text
-        elif g is not None and g["type"] == "true_false" and g["prompt"] is None:
-            g["prompt"] = r.text
-        elif r.is_question and (target is None or target["answer"] is not None):
-            self.open(r.block)["alone"].append({"question": r.text, "answer": None, "solution": None, "images": [], "start_block": r.block, "end_block": None})
-        elif target is not None:
-            target["question"] = f"{target['question']} {r.text}"
-        else:
-            g = self.open(r.block)
-            g["prompt"] = r.text if g["prompt"] is None else f"{g['prompt']} {r.text}"
-
-
-def _segment_document(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.rename(columns={"subject": "line_subject"}).sort_values("block", kind="stable")
-    objects = part.astype(object).where(part.notna() | part.columns.isin(["images"]), None)
-    first = objects.iloc[0]
-    fold = _Fold(first["document_id"], first["path_year"], first["path_subject"])
-    block = 0
-    for r in objects.itertuples(index=False):
-        block = r.block
-        fold.line(r)
-    fold.close(block)
-    names = [c.split()[0] for c in V2_COLUMNS.replace(IMAGES, "x").split(", ")]
-    out = pd.DataFrame(fold.rows, columns=names)
-    for c in ("ordinal", "start_block", "end_block", "year", "contest", "group_start", "group_end", "group"):
-        out[c] = out[c].astype("Int32")
-    return out.astype({c: object for c in names if out[c].dtype == float}).where(out.notna(), None)
+def _grouped(x: DataFrame) -> DataFrame:
+    """Content lines of classified() with their group: seg, c1 (its first line's block), its last block, and the context at its first line."""
+    doc, so_far = _document()
+    header = F.col("is_round") | F.col("is_contest")
+    x = x.withColumn("header", header).withColumn("seg", F.sum(header.cast("int")).over(so_far))
+    # A struct, so that a round without a special section resets it.
+    context = {
+        "c_contest": F.when(F.col("is_round"), F.col("round_contest")).when(F.col("is_contest"), F.col("contest")),
+        "c_round": F.when(F.col("is_round"), F.col("round")),
+        "c_section": F.when(F.col("is_round"), F.struct(F.col("round_section").alias("v"))),
+        "c_subject": F.when(~header, F.col("subject")),
+    }
+    x = x.select("*", *(F.last(v, ignorenulls=True).over(so_far).alias(k) for k, v in context.items()))
+    after = doc.rowsBetween(1, Window.unboundedFollowing)
+    closed = F.min(F.when(header, F.col("block"))).over(after) - 1
+    x = x.withColumn("group_end", F.coalesce(closed, F.max("block").over(Window.partitionBy("document_id"))))
+    x = x.where(~F.col("header") & F.col("subject").isNull())
+    seg = Window.partitionBy("document_id", "seg")
+    first = F.first(F.struct(F.coalesce("c_section.v", F.lit("standard")).alias("type"), F.col("c_contest").alias("contest"), F.col("c_round").alias("round"), F.coalesce("c_subject", "path_subject").alias("subject"))).over(seg.orderBy("block"))
+    return x.withColumn("c1", F.min("block").over(seg)).withColumn("g", first).withColumn("group", F.dense_rank().over(Window.partitionBy("document_id").orderBy("seg")))
+
+
+def _roles(x: DataFrame) -> DataFrame:
+    """_grouped() with the role of each line: item, text, answer and solution from the first item on (phase B, from block p); before it alone (text of standalone
+    questions), answer, solution, overwrite (a prompt that replaces what was there) and prompt."""
+    seg = Window.partitionBy("document_id", "seg")
+    block, item = F.col("block"), F.col("item_number").isNotNull()
+    riddle_end = (F.col("g.type") == "riddle") & F.col("is_who") & (block > F.col("c1"))
+    x = x.withColumn("s0", F.min(F.when(~item & F.col("is_question") & ~riddle_end, block)).over(seg))
+    first_item = item & ~(F.col("answer").isNotNull() & F.coalesce(block > F.col("s0"), F.lit(False)))
+    x = x.withColumn("p", F.min(F.when(first_item, block)).over(seg))
+    late, standing = F.coalesce(block >= F.col("p"), F.lit(False)), F.coalesce(block > F.col("s0"), F.lit(False))
+    target = (late & (block > F.col("p"))) | (~late & standing)
+    role = (
+        F.when(target & F.col("answer").isNotNull(), "answer").when(target & F.col("solution").isNotNull(), "solution").when(late & item, "item").when(late, "text")
+        .when(riddle_end, "overwrite").when(block >= F.col("s0"), "alone").otherwise("prompt")
+    )
+    x = x.withColumn("late", late).withColumn("role", role)
+    # In a group of true or false whose first line is a question, the next text is the premise.
+    premise = F.min(F.when((F.col("role") == "alone") & (block > F.col("s0")), block)).over(seg)
+    x = x.withColumn("premise", F.when((F.col("g.type") == "true_false") & (F.col("s0") == F.col("c1")), premise))
+    return x.withColumn("role", F.when(block == F.col("premise"), "prompt").otherwise(F.col("role")))
 
 
 def segment_v2(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Rows of V2_COLUMNS: one per group, item (kind item) and question without a number (kind alone)."""
-    return classified(lines, strict).groupBy("document_id").applyInPandas(_segment_document, V2_COLUMNS)
+    x = _roles(_grouped(classified(lines, strict)))
+    seg = Window.partitionBy("document_id", "seg")
+    order = seg.orderBy("block")
+    so_far, before, after = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    block, role, late = F.col("block"), F.col("role"), F.col("late")
+    asks = (role == "alone") & F.col("is_question")
+    x = x.withColumn("answers", F.sum((~late & (role == "answer")).cast("int")).over(so_far))
+    # A question starts a new one if the last one was answered since it was asked.
+    asked = F.last(F.when(asks, F.col("answers")), ignorenulls=True).over(before)
+    x = x.withColumn("starts", F.coalesce(((role == "alone") & (block == F.col("s0"))) | (asks & (F.col("answers") > asked)), F.lit(False)))
+    x = x.withColumn("next_item", F.min(F.when(role == "item", block)).over(after)).withColumn("replaced", F.max(F.when(role == "overwrite", block)).over(seg))
+    x = x.withColumn("own", F.when(late, "item").when(role.isin("prompt", "overwrite"), "group").otherwise("alone"))
+    x = x.withColumn("place", F.when(late, F.sum((role == "item").cast("int")).over(so_far)).when(F.col("own") == "alone", F.sum(F.col("starts").cast("int")).over(so_far)).otherwise(0))
+    # The first line stands for its group too.
+    both = F.when((block == F.col("c1")) & (F.col("own") != "group"), F.array(F.struct("own", "place"), F.struct(F.lit("group").alias("own"), F.lit(0).cast("long").alias("place")))).otherwise(F.array(F.struct("own", "place")))
+    x = x.select("*", F.explode(both).alias("k")).select("*", F.col("k.own").alias("kind"), F.col("k.place").cast("int").alias("ordinal"))
+    kind = F.col("kind")
+    piece = (
+        F.when(kind == "group", F.when(role.isin("prompt", "overwrite") & F.coalesce(block >= F.col("replaced"), F.lit(True)), F.col("text")))
+        .when(role == "item", F.col("item_text")).when(role.isin("text", "alone"), F.col("text"))
+    )
+    shown = (kind == "item") & role.isin("item", "text") & ~((F.col("g.type") == "riddle") & F.col("is_who") & (role == "text"))
+    in_order = lambda v: F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct("block", v.alias("v"))))), lambda y: y["v"])
+    last = lambda name: F.max_by(F.when(role == name, F.col(name)), F.when(role == name, block))
+    begins = F.when((kind == "group") | (role == "item") | F.col("starts"), block)
+    rows = x.groupBy("document_id", "group", "kind", "ordinal").agg(
+        F.max(F.when(role == "item", F.col("item_number"))).alias("number"), F.array_join(in_order(piece), " ").alias("joined"), last("answer").alias("answer"), last("solution").alias("solution"),
+        F.flatten(in_order(F.when(shown, F.col("images")))).alias("images"), F.min(begins).alias("begins"), F.min(F.when(role == "item", F.coalesce(F.col("next_item") - 1, F.col("group_end")))).alias("ends"),
+        F.first("g").alias("g"), F.first("path_year").alias("year"), F.min("c1").alias("group_start"), F.max("group_end").alias("group_end"),
+    )
+    kind, inner = F.col("kind"), F.col("kind") != "group"
+    prompt = F.max(F.when(kind == "group", F.nullif("joined", F.lit("")))).over(Window.partitionBy("document_id", "group"))
+    only = lambda condition, c: F.when(condition, F.col(c))
+    return rows.withColumn("prompt", prompt).select(
+        "document_id", "group", "kind", only(inner, "ordinal").alias("ordinal"), only(kind == "item", "number").alias("number"), only(inner, "joined").alias("question"), only(inner, "answer").alias("answer"), only(inner, "solution").alias("solution"),
+        only(inner, "images").alias("images"), only(inner, "begins").alias("start_block"), only(kind == "item", "ends").alias("end_block"), F.col("g.type").alias("group_type"), "year",
+        F.col("g.contest").alias("contest"), F.col("g.round").alias("round"), F.col("g.subject").alias("subject"), "prompt", "group_start", "group_end",
+    )
 
 
 def flatten_v2(segments: DataFrame, competition: str = "quiz") -> DataFrame:
@@ -190,5 +195,19 @@ def flatten_v2(segments: DataFrame, competition: str = "quiz") -> DataFrame:
     )
 
 
-def segment_stats(segments: DataFrame) -> DataFrame:
-    return segments.groupBy("document_id").agg(F.count_if(F.col("kind") == "group").alias("groups"), F.count_if(F.col("kind") == "item").alias("numbered_items"), F.count_if(F.col("kind") == "alone").alias("standalone_questions"))
+def segment_stats(segments: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Counts per document; documents(document_id, ...) that have no group get zeros if they are given."""
+    names = ("groups", "numbered_items", "standalone_questions")
+    rows = segments.groupBy("document_id").agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in zip(("group", "item", "alone"), names, strict=True)))
+    if documents is None:
+        return rows
+    all_ = documents.select("document_id").distinct().join(rows.withColumnRenamed("document_id", "__id"), F.col("document_id") == F.col("__id"), "left")
+    return all_.select("document_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names))
+
+
+def segmentation_report(documents: DataFrame, records: DataFrame) -> DataFrame:
+    """status, document_id, questions, error per row of documents(document_id, error, ...): one that could not be read is a row with its error, and ends nothing."""
+    counts = records.groupBy(F.col("source.document_id").alias("__id")).agg(F.count(F.lit(1)).alias("n"))
+    return documents.select("document_id", "error").join(counts, F.col("document_id") == F.col("__id"), "left").select(
+        F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "document_id", F.coalesce("n", F.lit(0)).alias("questions"), "error"
+    )
