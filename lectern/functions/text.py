@@ -47,7 +47,8 @@ def normalize(c: Column, ascii_only: bool = False) -> Column:
     """The form that question texts and answers are compared in. ascii_only leaves out the one step that is no built-in, which ASCII does not need."""
     c = repair(F.coalesce(c, F.lit("")))
     if not ascii_only:
-        c = F.pandas_udf(_nfkc, "string")(c)
+        # ASCII is its own compatibility form: only other rows travel to Python, the rest as nulls.
+        c = F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(~c.rlike("^[\\x00-\\x7f]*$"), c)), c)
     c = F.translate(F.lower(c), "–—−", "---")
     c = F.regexp_replace(c, "(?U)\\s+", " ")
     return strip(F.regexp_replace(c, "\\s*([,.;:!?()\\[\\]{}=+\\-*/<>])\\s*", "$1"))
@@ -75,9 +76,12 @@ def first_year(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), YEAR, 0), F.lit("")).cast("int")
 
 
+def fingerprint_of(kind: Column, normalized: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", F.coalesce(F.nullif(kind, F.lit("")), F.lit("standard")), normalized), 256)
+
+
 def fingerprint(kind: Column, question: Column, ascii_only: bool = False) -> Column:
-    kind = F.coalesce(F.nullif(kind, F.lit("")), F.lit("standard"))
-    return F.sha2(F.concat_ws("\n", kind, normalize(question, ascii_only)), 256)
+    return fingerprint_of(kind, normalize(question, ascii_only))
 
 
 def subject_hint(c: Column) -> Column:

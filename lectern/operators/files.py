@@ -19,6 +19,9 @@ FORMATS = {
     "speed_race": ("speed race",), "true_false": ("true or false",), "riddles": ("riddle",), "problem_of_day": ("problem of the day", "potd"),
     "final": ("final",), "prelim": ("prelim",), "regional": ("regional",),
 }
+# Names of special samples.
+SPECIAL_SAMPLES = ("speed race", "true or false", "riddle", "problem of the day")
+MOST_PATTERNS = 1000
 SUBJECTS = {"biology": ("biology",), "chemistry": ("chemistry",), "mathematics": ("math",), "physics": ("physics",)}
 
 
@@ -63,6 +66,21 @@ def unified_corpus(candidates: DataFrame) -> DataFrame:
     )
 
 
+def packages(corpus: DataFrame) -> DataFrame:
+    """Canonical sources that are word-processor packages."""
+    return corpus.where(F.col("canonical_extension") == ".docx")
+
+
+def only_in_archives(corpus: DataFrame) -> DataFrame:
+    """Canonical sources that no loose file has."""
+    return corpus.where(F.col("canonical_source_type") == "archive_member")
+
+
+def in_group_order(groups: DataFrame, count: str = "duplicate_count") -> DataFrame:
+    """Members of duplicate_files(): the largest groups first, groups of equal size and members in input order."""
+    return groups.orderBy(F.desc(count), "first", "ord")
+
+
 def in_path_order(corpus: DataFrame) -> DataFrame:
     return corpus.orderBy(F.lower("canonical_path"), "canonical_path")
 
@@ -142,10 +160,25 @@ def sample_score(text: Column, bad=BAD_TERMS, good=GOOD_TERMS) -> Column:
 def best_per_pattern(df: DataFrame, text: Column, patterns: DataFrame, score: Column) -> DataFrame:
     """For each pattern of a small table (pattern, rank) the best row whose text contains it, each row once, in the patterns' order.
 
-    The patterns are a short list, so that the nested-loop join passes over df once; the top row per pattern is an aggregate, not a sort.
+    The patterns are a list of at most MOST_PATTERNS, so that the nested-loop join passes over df once; the top row per pattern is an aggregate of ids, to which
+    the rows are joined back. ord names a row.
     """
-    hits = df.withColumn("__text", text).withColumn("__score", score).join(F.broadcast(patterns), F.expr("contains(__text, pattern)"))
-    cols = [c for c in df.columns]
-    best = hits.groupBy("pattern", "rank").agg(F.max_by(F.struct(*cols), F.struct("__score", -F.col("ord"))).alias("b")).select("pattern", "rank", "b.*")
-    first = F.row_number().over(Window.partitionBy("ord").orderBy("rank"))
-    return best.withColumn("__r", first).where("__r = 1").drop("__r").orderBy("rank")
+    listed = [(r["pattern"], r["rank"]) for r in patterns.select("pattern", "rank").limit(MOST_PATTERNS + 1).collect()]
+    if len(listed) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    small = F.broadcast(df.sparkSession.createDataFrame(listed, patterns.select("pattern", "rank").schema))
+    hits = df.select("ord", text.alias("__text"), score.alias("__score")).join(small, F.expr("contains(__text, pattern)"))
+    best = hits.groupBy("pattern", "rank").agg(F.max_by("ord", F.struct("__score", -F.col("ord"))).alias("__ord"))
+    first = F.row_number().over(Window.partitionBy("__ord").orderBy("rank"))
+    best = best.withColumn("__r", first).where("__r = 1").drop("__r")
+    return df.join(F.broadcast(best), F.col("ord") == F.col("__ord")).drop("__ord").orderBy("rank")
+
+
+def united_samples(*samples: DataFrame) -> DataFrame:
+    """Samples of several lists, each content once, as the first list has it; columns are those of the first list and list, its number."""
+    rows = None
+    for k, x in enumerate(samples):
+        x = x.withColumn("list", F.lit(k))
+        rows = x if rows is None else rows.unionByName(x)
+    first = F.row_number().over(Window.partitionBy("sha256").orderBy("list", "rank"))
+    return rows.withColumn("__r", first).where("__r = 1").drop("__r").orderBy("list", "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import clean, clean_answer, fingerprint, normalize
+from lectern.functions.text import clean_answer, collapse, fingerprint_of, normalize
 
 SHOWN = ["question_id", "question_type", "question_text", "answer", "solution"]
 
@@ -17,7 +17,7 @@ def _truthy(c: str) -> Column:
 def prepared(records: DataFrame, ascii_only: bool = False) -> DataFrame:
     """records(question_id, question_type, question_text, answer, solution, metadata, source, ord) with the columns that grouping needs."""
     return records.withColumn("normalized_question", normalize(F.col("question_text"), ascii_only)).withColumn(
-        "question_fingerprint", fingerprint(F.col("question_type"), F.col("question_text"), ascii_only)
+        "question_fingerprint", fingerprint_of(F.col("question_type"), F.col("normalized_question"))
     ).withColumn("norm_answer", F.when(_truthy("answer"), clean_answer(F.col("answer"), ascii_only)))
 
 
@@ -53,6 +53,18 @@ def answer_conflicts(p: DataFrame) -> DataFrame:
     return p.where("norm_answer is not null").groupBy("question_fingerprint").agg(F.min("norm_answer").alias("lo"), F.max("norm_answer").alias("hi"), F.countDistinct("norm_answer").alias("answers")).where("lo <> hi").select("question_fingerprint", "answers")
 
 
+def conflict_report(p: DataFrame) -> DataFrame:
+    """question_fingerprint, question, answer_variants, sources of each conflict: the canonical text, the counted answers without blanks, all records."""
+    conflicts = answer_conflicts(p).select(F.col("question_fingerprint").alias("f"))
+    rows = canonical_questions(p.join(conflicts, F.col("question_fingerprint") == F.col("f"), "left_semi"))
+    return rows.select("question_fingerprint", F.col("question_text").alias("question"), "answer_variants", "sources")
+
+
+def source_rows(p: DataFrame) -> DataFrame:
+    """The records of each fingerprint as rows, for groups too large for one array."""
+    return p.select("question_fingerprint", "ord", "question_id", F.col("source.document_id").alias("document_id"), F.col("source.start_block").alias("start_block"), F.col("source.end_block").alias("end_block"), "metadata")
+
+
 def duplicate_report(canonical: DataFrame) -> DataFrame:
     return canonical.where("duplicate_count > 1").select("question_fingerprint", F.col("duplicate_count").alias("count"), F.col("question_text").alias("canonical_question"), "question_type", "sources")
 
@@ -68,4 +80,4 @@ def in_corpus_order(records: DataFrame) -> DataFrame:
 
 
 def usable(records: DataFrame, least: int = 10) -> DataFrame:
-    return records.where(F.length(clean(F.col("question_text"))) >= least)
+    return records.where(F.length(collapse(F.col("question_text"))) >= least)

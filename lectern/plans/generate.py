@@ -70,14 +70,33 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def prompt_of(task: str, rules: Sequence[str], facts: dict, profile: list[dict], examples: list[dict], answer: dict) -> str:
+    """The text for a model: the task, rules, what is asked for, patterns of past papers, examples with their sources, and the form of the answer."""
+    show = lambda x: json.dumps(x, ensure_ascii=False, default=str)
+    lines = [task, "", "Rules:", *(f"- {r}" for r in rules), "", *(f"{k}: {v}" for k, v in facts.items()), "", "Patterns of past papers, the strongest first:"]
+    lines += [f"{k}. {p['topic']}: asked {p['frequency']} times, in the years {', '.join(map(str, p['years_seen'])) or 'unknown'}, score {p['forecast_score']}" for k, p in enumerate(profile, 1)] or ["none"]
+    lines += ["", "Examples from past papers:", *(show(e) for e in examples), "", "Answer with JSON alone, in this form:", show(answer)]
+    return "\n".join(lines)
+
+
+GENERATE_RULES = (
+    "Write new questions; do not repeat or reword an example.", "Keep the level, length and manner of the examples.", "Each answer must be correct and complete, and each solution must show the steps.",
+    "Spread the questions over the patterns, if no topic is given.",
+)
+FORECAST_RULES = ("Base each forecast on the patterns and examples, and say how.", "A likelihood is a number from 0 to 1.", "Do not claim to know a paper that is to come.")
+
+
 def generate(records: DataFrame, text: Column, generator: Generator | None, models: Sequence[str], subject: str, kind: str, topic: str = "", count: int = 5, k: int = 10) -> dict:
     """records(ord, subject, topic, question_type, answer, year, ...): the best examples and the profile go into a prompt; the answer into an envelope."""
     kind = question_type(kind)
     mine = (records["subject"] == subject) & (records["question_type"] == kind)
     best = search.search(records, "ord", text, f"{subject} {kind} {topic}", k, mine)
-    examples = _rows(records.join(best, "ord").orderBy(best["score"].desc(), "ord").select(text.alias("question"), "answer", "topic"))
+    source = [c for c in ("sources", "source") if c in records.columns][:1]
+    examples = _rows(records.join(best, "ord").orderBy(best["score"].desc(), "ord").select(text.alias("question"), "answer", "topic", *source))
     profile = _rows(topics.top_profile(topics.pattern_profile(records.where(mine))))
-    prompt = json.dumps({"task": "write original questions in the style of the examples; answer as JSON with a list questions", "subject": subject, "type": kind, "topic": topic or "the strongest patterns", "count": count, "profile": profile, "examples": examples}, ensure_ascii=False, default=str)
+    facts = {"Subject": subject, "Type": kind, "Topic": topic or "the strongest patterns", "Number of questions": count}
+    form = {"questions": [{"question": "", "answer": "", "solution": "", "topic": "", "difficulty": 3, "style_notes": ""}]}
+    prompt = prompt_of("Write original quiz questions in the style of the examples.", GENERATE_RULES, facts, profile, examples, form)
     return {"mode": "generate", "subject": subject, "question_type": kind, "topic": topic, "historical_examples": examples, "result": rescue(call(generator, models, prompt))}
 
 
@@ -87,7 +106,8 @@ def forecast(records: DataFrame, text: Column, generator: Generator | None, mode
     profile = topics.pattern_profile(of_subject.where(of_subject["question_type"] == kind))
     examples = _rows(topics.forecast_examples(of_subject.withColumn("text", text), profile).select("topic", "text", "year"))
     top = _rows(topics.top_profile(profile))
-    prompt = json.dumps({"task": "forecast topics; answer as JSON with a list forecast", "subject": subject, "type": kind, "profile": top, "examples": examples}, ensure_ascii=False, default=str)
+    form = {"forecast": [{"topic": "", "concept": "", "likelihood": 0.5, "reason": "", "possible_question_direction": ""}]}
+    prompt = prompt_of("Forecast which topics the next paper asks for.", FORECAST_RULES, {"Subject": subject, "Type": kind}, top, examples, form)
     return {"mode": "forecast", "subject": subject, "question_type": kind, "pattern_profile": top, "result": rescue(call(generator, models, prompt))}
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import files, questions, quiz, search, segment, topics
+from lectern.operators import files, questions, quiz, search, topics
+from lectern.plans import papers, storage
+from lectern.sources.shared import new_path, stored
 
 QUERY = "the apache license of that trash and pathetic clown"
 VOCABULARY = {
@@ -125,21 +127,6 @@ def profile_rows(p: DataFrame) -> DataFrame:
     return p.select("topic", "frequency", F.array_join(F.transform("years_seen", lambda y: y.cast("string")), ",").alias("years"), "recurrence", "recent_years", "forecast_score")
 
 
-def _lines(spark, d):
-    return segment.text_lines(_docs(spark, d))
-
-
-SAMPLE_LINES = [
-    "CONTEST 4", "PRE C 4 ROUND 2", "ROUND 1", "PHYSICS", "1. What is x?", "ANSWER: 5", "Round 3b: Speed Race", "12 V battery", "1.What", "e.g. iron", "b)x", "Arrange the ions", "A ball falls",
-    "a) first part", "ANS = 3", "SOLUTION: s", "ROUND 5: RIDDLES", "Who am I?", "ROUND 4: TRUE OR FALSE", "Consider gases.", "Maths 2", "Preamble: p", "Question. Find x", "ROUND 1 - x", "Round 6", "Speed Race", "more text", "Find y",
-]
-LINES_SQL = "lines as (select * from (values " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(SAMPLE_LINES, 1)) + ") t(block, text))"
-
-
-def _sample_lines(spark):
-    return spark.createDataFrame(list(enumerate(SAMPLE_LINES, 1)), "block int, text string").withColumn("document_id", F.lit("sample")).withColumn("images", F.expr(f"cast(array() as {segment.IMAGES})"))
-
-
 def _tokens_sql(column="text"):
     return f"regexp_extract_all(lower({column}), '[a-z0-9]+(?:[''’\\-][a-z0-9]+)*')"
 
@@ -154,8 +141,6 @@ scored as (select doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (
            from tf join df using (term) join size_of using (doc_id), stats group by doc_id)
 select doc_id, round(score, 6) as score from scored {{where}} order by round(scored.score, 9) desc, doc_id limit 20"""
 
-_L = "(?i)"
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def found(df):
@@ -168,8 +153,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return F.concat_ws(" ", "source", "text")
 
     def scored_topics(s, d):
-        subject = topics.subject_of(F.lit(None).cast("string"), F.col("text"), VOCABULARY)
-        return _docs(s, d).select("doc_id", subject.alias("subject"), "text").select("doc_id", "subject", topics.topic_scores(F.col("subject"), F.col("text"), VOCABULARY).alias("scores"))
+        return topics.classified(_docs(s, d).select("doc_id", "text"), F.col("text"), VOCABULARY)
+
+    def subjects(s, d):
+        given = F.when(F.col("doc_id") % 9 == 0, F.upper("lang"))
+        return _docs(s, d).select("doc_id", given.alias("given"), topics.lowered(F.col("text")).alias("low")).select("doc_id", topics.subject_of(F.col("given"), F.col("low"), VOCABULARY).alias("subject"))
+
+    def from_index(s, d):
+        path = new_path(s, "index")
+        search.write_index(_docs(s, d), "doc_id", F.col("text"), path)
+        return found(search.search_index(s, path, QUERY, 20).withColumnRenamed("key", "doc_id"))
+
+    def retrieved(s, d):
+        x = search.retrieve(_records(s, d).drop("ord"), QUERY, VOCABULARY, 20, subject="en", kind="en")
+        return x.select("question_id", "answer", F.col("metadata.year").alias("year"), F.col("_retrieval_score").alias("retrieval_score"), F.col("_subject").alias("subject"), F.col("_topic").alias("topic"))
+
+    def conflicts(s, d):
+        x = questions.conflict_report(_prepared(s, d))
+        answers = F.array_join(F.transform("answer_variants", lambda v: F.concat_ws("=", v["answer"], v["count"].cast("string"))), ",")
+        return x.select("question_fingerprint", F.sha2("question", 256).alias("question"), answers.alias("answers"), F.array_join(F.transform("sources", lambda v: v["question_id"]), ",").alias("sources"))
+
+    def examples(s, d):
+        dated = stored(_dated(s, d), "dated")
+        return topics.forecast_examples(dated, topics.pattern_profile(dated)).select("topic", "topic_rank", "example", "year", "ord")
+
+    def united(s, d):
+        """Samples for two lists of patterns over files, each content once."""
+        docs = _files(s, d).join(_docs(s, d).select(F.col("doc_id").alias("i"), F.lower("text").alias("low")), F.col("ord") == F.col("i"))
+        lists = [s.createDataFrame([(p, k) for k, p in enumerate(ps)], "pattern string, rank int") for ps in (PATTERNS[:3], PATTERNS[2:])]
+        picked = [files.best_per_pattern(docs, F.col("low"), x, F.lit(0)).select("sha256", "pattern", "rank", "ord") for x in lists]
+        return files.united_samples(*picked).select("list", "pattern", "sha256", "ord")
 
     def samples(s, d):
         patterns = s.createDataFrame([(p, k) for k, p in enumerate(PATTERNS)], "pattern string, rank int")
@@ -180,23 +193,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         e = table(s, d, "events")
         return e.select("event_id", quiz.is_correct(F.concat(F.lit(" "), F.upper("event_type")), F.element_at(F.array(*map(F.lit, ("click", "view", "purchase"))), (F.col("event_id") % 3 + 1).cast("int"))).alias("correct"))
 
-    def classes(s, d):
-        c = T.clean(F.col("text"))
-        f = segment.L.v2_fields(F.col("text"))
-        return _sample_lines(s).select("block", segment.L.v1_kind(c).alias("v1_kind"), f["is_round"].alias("is_round"), f["round"].alias("round"), f["round_contest"].alias("round_contest"), f["round_section"].alias("section"), f["contest"].alias("contest"), f["subject"].alias("subject"), f["item_number"].alias("item_number"), f["item_text"].alias("item_text"), f["answer"].alias("answer"), f["solution"].alias("solution"))
-
-    def flat_v1(s, d):
-        x = segment.segment_v1(_lines(s, d).unionByName(_sample_lines(s)))
-        return x.select("question_id", "metadata.contest", "metadata.round", "metadata.subject", "metadata.section_type", "preamble", "question_text", "answer", "solution", "source.start_block", "source.end_block")
-
-    def flat_v2(s, d):
-        x = segment.flatten_v2(segment.segment_v2(_lines(s, d).unionByName(_sample_lines(s))))
-        return x.select("question_id", "question_type", "metadata.contest", "metadata.round", "metadata.subject", "prompt", "question_text", "answer", "solution", "source.start_block", "source.end_block")
-
     return {
         "bm25_search": lambda s, d: found(search.search(_docs(s, d), "doc_id", F.col("text"), QUERY, 20)),
         "bm25_search_filtered": lambda s, d: found(search.search(_docs(s, d), "doc_id", F.col("text"), QUERY, 20, F.col("lang") == "en")),
-        "bm25_from_index": lambda s, d: found(search.scores_from_index(index(s, d), search.lengths(_docs(s, d), "doc_id", F.col("text")), "doc_id", QUERY).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(20)),
+        "bm25_from_index": from_index,
+        "bm25_scores": lambda s, d: found(search.scores(_docs(s, d), "doc_id", F.col("text"), QUERY)),
+        "bm25_index_scores": lambda s, d: found(search.scores_from_index(index(s, d), search.lengths(_docs(s, d), "doc_id", F.col("text")), "doc_id", QUERY)),
+        "retrieve": retrieved,
         "term_freq": lambda s, d: index(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("most")),
         "doc_freq": lambda s, d: search.document_frequency(index(s, d)),
         "corpus_stats": lambda s, d: search.corpus_stats(search.lengths(_docs(s, d), "doc_id", F.col("text"))).withColumn("avgdl", F.round("avgdl", 6)),
@@ -208,13 +211,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "duplicate_report": lambda s, d: questions.duplicate_report(questions.canonical_questions(_prepared(s, d))).select("question_fingerprint", "count", "question_type"),
         "answer_variants": lambda s, d: questions.answer_variants(_prepared(s, d)).select("question_fingerprint", "answer", "n"),
         "answer_conflicts": lambda s, d: questions.answer_conflicts(_prepared(s, d)),
+        "conflict_report": conflicts,
+        "source_rows": lambda s, d: questions.source_rows(_prepared(s, d)).select("question_fingerprint", "ord", "question_id"),
         "dedup_summary": lambda s, d: questions.dedup_summary(_prepared(s, d)),
-        "corpus_order": lambda s, d: questions.in_corpus_order(questions.usable(_records(s, d))).select("question_id").limit(50),
-        "corpus_order_all": lambda s, d: questions.in_corpus_order(questions.usable(_records(s, d))).select("question_id"),
+        "corpus_order": lambda s, d: questions.in_corpus_order(questions.usable(_records(s, d))).select("question_id"),
         "inventory_union": lambda s, d: _candidates(s, d).groupBy("source_type", "extension").agg(F.count(F.lit(1)).alias("n")),
         "unified_corpus": lambda s, d: files.unified_corpus(_candidates(s, d)),
         "cross_source_duplicates": lambda s, d: files.cross_source_duplicates(_candidates(s, d)),
         "duplicate_files": lambda s, d: files.duplicate_files(_files(s, d)).select("sha256", "duplicate_count", "filename", "relative_path", "canonical"),
+        "duplicates_in_order": lambda s, d: files.in_group_order(files.duplicate_files(_files(s, d))).select("sha256", "duplicate_count", "relative_path"),
+        "united_samples": united,
         "canonical_files": lambda s, d: files.canonical_files(_files(s, d)),
         "ext_counts": lambda s, d: files.frequency(_files(s, d), "extension").select("extension", "n"),
         "size_total": lambda s, d: files.totals(_files(s, d)),
@@ -226,22 +232,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reference_candidates": lambda s, d: files.reference_candidates(_docs(s, d), F.col("text"), ("apache", "license")).select("doc_id"),
         "competition_hints": lambda s, d: files.competition_hints(_docs(s, d), F.concat_ws(" ", "source", "text")),
         "sample_per_key": samples,
-        "subject_of": lambda s, d: _docs(s, d).select("doc_id", topics.subject_of(F.when(F.col("doc_id") % 9 == 0, F.upper("lang")), F.col("text"), VOCABULARY).alias("subject")),
+        "subject_of": subjects,
         "topic_scores": lambda s, d: scored_topics(s, d).select("doc_id", F.explode("scores").alias("x")).select("doc_id", "x.topic", "x.score"),
-        "primary_topic": lambda s, d: scored_topics(s, d).select("doc_id", topics.primary_topic(F.col("scores")).alias("topic")),
+        "primary_topic": lambda s, d: scored_topics(s, d).select("doc_id", "topic"),
         "pattern_profile": lambda s, d: profile_rows(topics.top_profile(topics.pattern_profile(_dated(s, d)), 100)),
-        "forecast_examples": lambda s, d: topics.forecast_examples(_dated(s, d), topics.pattern_profile(_dated(s, d))).select("topic", "topic_rank", "example", "year", "ord"),
+        "forecast_examples": examples,
         "quiz_score": lambda s, d: quiz.score(_answers(s, d)).withColumn("percent", F.round("percent", 6)),
         "topic_performance": lambda s, d: quiz.topic_performance(_answers(s, d)).withColumn("percent", F.round("percent", 6)),
         "weak_topics": lambda s, d: quiz.weak_topics(_answers(s, d)).select("topic", "correct", "total"),
         "grade_answers": grades,
         "quiz_progress": lambda s, d: quiz.progress(table(s, d, "events").select("event_id", "user_id"), "user_id", "event_id"),
         "json_rescue": lambda s, d: table(s, d, "events").select("event_id", T.rescue_json(F.concat(F.lit("Here: "), "props", F.lit(" done"))).isNotNull().alias("found")),
-        "line_classify": classes,
-        "doc_block_stats": lambda s, d: _lines(s, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("lines"), F.max("block").alias("last_block")),
-        "segment_v1": flat_v1,
-        "segment_v2": flat_v2,
-        "segment_stats": lambda s, d: segment.segment_stats(segment.segment_v2(_lines(s, d))),
+        **papers.queries(),
+        **storage.queries(),
     }
 
 
@@ -257,15 +260,15 @@ def oracle_sql() -> dict[str, str]:
     subj = f"subj as (select doc_id, t, {subject} as subject from low)"
     canon = "canon as (select fp, count(*)::int as n, arg_max(ord, (case when coalesce(answer, '') <> '' then 1 else 0 end, case when solved then 1 else 0 end, length(text), -ord)) as best, count(*) filter (where solved) as solved, count(distinct ord % 3) as variants, string_agg(ord, ',' order by ord) as sources, any_value(lang) as lang from prepared group by fp)"
     variants = "variants as (select fp, norm_answer as answer, count(*) as n, min(ord) as first from prepared where norm_answer <> '' group by all)"
-    item = lambda g: f"case when regexp_matches(text, '^\\s*(\\d+)[\\.\\)]?\\s+(.+)$') then regexp_extract(text, '^\\s*(\\d+)[\\.\\)]?\\s+(.+)$', {g}) when regexp_matches(text, '(?i)^\\s*([a-z])[\\.\\)]\\s*(.+)$') then {'lower' if g == 1 else ''}(regexp_extract(text, '(?i)^\\s*([a-z])[\\.\\)]\\s*(.+)$', {g})) end"
-    rnd = "(?i)^\\s*(?:PRE\\s*C\\s*(\\d+)\\s+)?ROUND\\s+([1-5](?:[A-Z])?)(?:\\s*:\\s*(.*))?\\s*$"
-    starters = "|".join(segment.L.STARTERS.split())
-    special = "(?i)^\\s*(speed\\s*race|true\\s+or\\s+false|riddles?|problem\\s+of\\s+the\\s+day)\\b"
+    sample_values = ", ".join(f"({n}, '{p}', {k})" for n, ps in enumerate((PATTERNS[:3], PATTERNS[2:])) for k, p in enumerate(ps))
     pattern_values = ", ".join(f"('{p}', {k})" for k, p in enumerate(PATTERNS))
     return {
         "bm25_search": BM25_SQL.format(where=""),
         "bm25_search_filtered": BM25_SQL.format(where="join documents using (doc_id) where lang = 'en'"),
         "bm25_from_index": BM25_SQL.format(where=""),
+        "bm25_scores": BM25_SQL.format(where="").removesuffix(" order by round(scored.score, 9) desc, doc_id limit 20"),
+        "bm25_index_scores": BM25_SQL.format(where="").removesuffix(" order by round(scored.score, 9) desc, doc_id limit 20"),
+        "retrieve": f"with best as ({BM25_SQL.format(where="join documents using (doc_id) where lang = 'en'")}), {RECORDS_SQL} select ord::varchar as question_id, answer, (2000 + ord % 3)::int as year, round(score, 4) as retrieval_score, lang as subject, 'unknown' as topic from best join records on doc_id = ord",
         "term_freq": f"select doc_id, count(*) as terms, sum(tf)::bigint as tokens, max(tf) as most from (select doc_id, term, count(*) as tf from (select doc_id, unnest({_tokens_sql()}) as term from documents) group by all) group by doc_id",
         "doc_freq": f"select term, count(distinct doc_id) as df from (select doc_id, unnest({_tokens_sql()}) as term from documents) group by term",
         "corpus_stats": f"select count(*) as n_docs, round(avg(len({_tokens_sql()})), 6) as avgdl from documents",
@@ -277,13 +280,16 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_report": f"with {RECORDS_SQL}, {canon} select fp as question_fingerprint, n as count, lang as question_type from canon where n > 1",
         "answer_variants": f"with {RECORDS_SQL}, {variants} select fp as question_fingerprint, answer, n from variants",
         "answer_conflicts": f"with {RECORDS_SQL} select fp as question_fingerprint, count(distinct norm_answer) as answers from prepared group by fp having count(distinct norm_answer) > 1",
+        "conflict_report": f"with {RECORDS_SQL}, {canon}, {variants}, listed as (select fp, string_agg(answer || '=' || n, ',' order by n desc, first) as answers from variants group by fp), c as (select fp from prepared group by fp having count(distinct norm_answer) > 1) select fp as question_fingerprint, sha256(text) as question, coalesce(answers, '') as answers, sources from c join canon using (fp) left join listed using (fp) join documents on doc_id = best",
+        "source_rows": f"with {RECORDS_SQL} select fp as question_fingerprint, ord, ord::varchar as question_id from prepared",
         "dedup_summary": f"with {RECORDS_SQL}, g as (select fp, count(*) as n from prepared group by fp) select sum(n)::bigint as records, count(*) as unique_questions, count(*) filter (where n > 1) as duplicate_groups, sum(n - 1)::bigint as removed from g",
-        "corpus_order": "select doc_id::varchar as question_id from documents where length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 10 order by 2000 + doc_id % 3, lang, text, doc_id::varchar limit 50",
-        "corpus_order_all": "select doc_id::varchar as question_id from documents where length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 10 order by 2000 + doc_id % 3, lang, text, doc_id::varchar",
+        "corpus_order": "select doc_id::varchar as question_id from documents where length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 10 order by 2000 + doc_id % 3, lang, text, doc_id::varchar",
         "inventory_union": f"with {FILES_SQL} select source_type, extension, count(*) as n from candidates group by all",
         "unified_corpus": f"with {FILES_SQL} select sha256, arg_min(source_type, (score, ord)) as canonical_source_type, arg_min(filename, (score, ord)) as canonical_filename, arg_min(extension, (score, ord)) as canonical_extension, arg_min(source_path, (score, ord)) as canonical_path, arg_min(size_bytes, (score, ord)) as size_bytes, count(*) as source_count, string_agg(source_path, ' | ' order by source_path) as all_sources from scored group by sha256",
         "cross_source_duplicates": f"with {FILES_SQL}, g as (select sha256, count(*) as source_count from candidates group by sha256 having count(distinct source_type) > 1) select sha256, source_count, source_type, filename, extension, source_path from candidates join g using (sha256)",
         "duplicate_files": f"with {FILES_SQL}, g as (select sha256, count(*) as duplicate_count, arg_min(ord, (score, ord)) as best from scored_files group by sha256 having count(*) > 1) select sha256, duplicate_count, filename, relative_path, ord = best as canonical from files join g using (sha256)",
+        "duplicates_in_order": f"with {FILES_SQL}, g as (select sha256, count(*) as duplicate_count, min(ord) as first from files group by sha256 having count(*) > 1) select sha256, duplicate_count, relative_path from files join g using (sha256) order by duplicate_count desc, first, ord",
+        "united_samples": f"with {FILES_SQL}, p(list, pattern, rank) as (values {sample_values}), low as (select doc_id, lower(text) as t from documents), hits as (select list, pattern, rank, doc_id, row_number() over (partition by list, pattern order by doc_id) as r from p join low on contains(t, pattern)), best as (select *, row_number() over (partition by list, doc_id order by rank) as again from hits where r = 1), named as (select list, rank, pattern, sha256, ord from best join files on ord = doc_id where again = 1), firsts as (select *, row_number() over (partition by sha256 order by list, rank) as f from named) select list::int as list, pattern, sha256, ord from firsts where f = 1",
         "canonical_files": f"with {FILES_SQL} select sha256, arg_min(relative_path, (score, ord)) as canonical_path, arg_min(extension, (score, ord)) as canonical_extension, count(*) as duplicate_count from scored_files group by sha256",
         "ext_counts": f"with {FILES_SQL} select extension, count(*) as n from files group by extension",
         "size_total": "select count(*) as n, sum(n_chars)::bigint as bytes from documents",
@@ -306,9 +312,6 @@ def oracle_sql() -> dict[str, str]:
         "grade_answers": "select event_id, lower(event_type) = (['click', 'view', 'purchase'])[event_id % 3 + 1] and event_type <> '' as correct from events",
         "quiz_progress": "select event_id, user_id, row_number() over (partition by user_id order by event_id)::int as number, count(*) over (partition by user_id) as \"of\" from events",
         "json_rescue": "select event_id, coalesce(json_valid(regexp_extract(props, '\\{.*\\}')), false) as found from events",
-        "line_classify": f"with {LINES_SQL} select block, case when regexp_matches(text, '(?i)^\\s*round\\s*([1-5])(?:\\s*[:\\-]?\\s*(.*))?$') then 'ROUND' when regexp_matches(text, '(?i)^\\s*contest\\s+(\\d+)\\s*([a-z])?\\s*$') then 'CONTEST' when regexp_matches(text, '{special}') then 'SPECIAL' when regexp_matches(text, '(?i)^\\s*(biology|chemistry|mathematics|maths|physics)\\s*(\\d+)?\\s*$') then 'SUBJECT' when regexp_matches(text, '(?i)^\\s*preamble\\s*[:=\\-]?\\s*(.*)$') then 'PREAMBLE' when regexp_matches(text, '(?i)^\\s*solution\\s*[:=\\-]?\\s*(.*)$') then 'SOLUTION' when regexp_matches(text, '(?i)^\\s*(answer|ans|a)\\s*[:\\.\\-]?\\s*(.*)$') then 'ANSWER' when regexp_matches(text, '(?i)^\\s*(q\\.|question\\s*[:.]|\\d+[\\).\\:]?)\\s+') or ends_with(text, '?') or regexp_matches(lower(text), '^(?:{starters}) ') then 'Q' else 'OTHER' end as v1_kind, "
-        f"regexp_matches(text, '{rnd}') as is_round, nullif(upper(regexp_extract(text, '{rnd}', 2)), '') as round, nullif(regexp_extract(text, '{rnd}', 1), '')::int as round_contest, case when contains(lower(regexp_extract(text, '{rnd}', 3)), 'speed race') then 'speed_race' when contains(lower(regexp_extract(text, '{rnd}', 3)), 'riddle') then 'riddle' when contains(lower(regexp_extract(text, '{rnd}', 3)), 'true or false') then 'true_false' end as section, "
-        f"nullif(regexp_extract(text, '(?i)^\\s*CONTEST\\s+(\\d+)([A-Z])?\\s*$', 1), '')::int as contest, case lower(regexp_extract(text, '(?i)^\\s*(BIOLOGY|CHEMISTRY|PHYSICS|MATHEMATICS|MATHS)(?:\\s+\\d+)?\\s*$', 1)) when '' then null when 'maths' then 'mathematics' else lower(regexp_extract(text, '(?i)^\\s*(BIOLOGY|CHEMISTRY|PHYSICS|MATHEMATICS|MATHS)(?:\\s+\\d+)?\\s*$', 1)) end as subject, {item(1)} as item_number, {item(2)} as item_text, "
-        "case when regexp_matches(text, '(?i)^\\s*(?:ANSWER|ANS|A)\\s*[:=\\-\\.]?\\s*(.*)$') then regexp_extract(text, '(?i)^\\s*(?:ANSWER|ANS|A)\\s*[:=\\-\\.]?\\s*(.*)$', 1) end as answer, case when regexp_matches(text, '(?i)^\\s*SOLUTION\\s*[:=\\-\\.]?\\s*(.*)$') then regexp_extract(text, '(?i)^\\s*SOLUTION\\s*[:=\\-\\.]?\\s*(.*)$', 1) end as solution from lines",
-        "doc_block_stats": "with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as k from documents) select doc_id::varchar as document_id, count(*) as lines, max(k)::int as last_block from l where trim(regexp_replace(t, '\\s+', ' ', 'g')) <> '' group by doc_id",
+        **papers.oracle_sql(),
+        **storage.oracle_sql(),
     }

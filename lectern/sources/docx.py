@@ -29,6 +29,7 @@ V = "{urn:schemas-microsoft-com:vml}"
 MAIN, RELS = "word/document.xml", "word/_rels/document.xml.rels"
 _YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
 _BREAKS = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n"}
+WITHOUT_RETURNS = {f"{W}tab": "\t", f"{W}br": "\n"}
 
 
 def paragraph_text(p, breaks: dict[str, str] = _BREAKS) -> str:
@@ -57,22 +58,22 @@ def _images(element, rels: dict[str, str], single: bool) -> list[dict]:
     return rows
 
 
-def _paragraph(p, rels, single) -> dict:
-    return {"type": "paragraph", "text": paragraph_text(p), "style": _style(p), "images": _images(p, rels, single), "rows": None}
+def _paragraph(p, rels, single, breaks=_BREAKS) -> dict:
+    return {"type": "paragraph", "text": paragraph_text(p, breaks), "style": _style(p), "images": _images(p, rels, single), "rows": None}
 
 
-def _table(t, rels, single) -> dict:
+def _table(t, rels, single, breaks=_BREAKS) -> dict:
     rows = []
     for tr in t.findall(f"{W}tr"):
         cells = []
         for tc in tr.findall(f"{W}tc"):
-            paragraphs = [{k: v for k, v in _paragraph(p, rels, single).items() if k != "rows"} for p in tc.iter(f"{W}p")]
+            paragraphs = [{k: v for k, v in _paragraph(p, rels, single, breaks).items() if k != "rows"} for p in tc.iter(f"{W}p")]
             cells.append({"text": "\n".join(p["text"] for p in paragraphs if p["text"]), "paragraphs": paragraphs})
         rows.append({"cells": cells})
     return {"type": "table", "text": None, "style": None, "images": None, "rows": rows}
 
 
-def _parts(z: zipfile.ZipFile, prefix: str) -> dict[str, list[str]]:
+def _parts(z: zipfile.ZipFile, prefix: str, breaks=_BREAKS) -> dict[str, list[str]]:
     out = {}
     for name in z.namelist():
         if name.startswith(prefix) and name.endswith(".xml"):
@@ -80,7 +81,7 @@ def _parts(z: zipfile.ZipFile, prefix: str) -> dict[str, list[str]]:
                 root = ElementTree.fromstring(z.read(name))
             except ElementTree.ParseError:
                 continue
-            out[name] = [t for t in (paragraph_text(p) for p in root.iter(f"{W}p")) if t]
+            out[name] = [t for t in (paragraph_text(p, breaks) for p in root.iter(f"{W}p")) if t]
     return out
 
 
@@ -89,7 +90,9 @@ def document_type(z: zipfile.ZipFile) -> str:
     return "macro" if "macroEnabled.main+xml" in kinds else "standard" if "wordprocessingml.document.main+xml" in kinds else "unknown"
 
 
-def extract(content: bytes, source: dict, profile: str = "batch") -> dict:
+def extract(content: bytes, source: dict, profile: str = "batch", breaks: dict[str, str] | None = None) -> dict:
+    """A document of DOCUMENT. breaks: text of elements by name, WITHOUT_RETURNS or {} for the plainer previews."""
+    breaks = _BREAKS if breaks is None else breaks
     single = profile == "single"
     sha = hashlib.sha256(content).hexdigest()
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -102,16 +105,16 @@ def extract(content: bytes, source: dict, profile: str = "batch") -> dict:
         blocks = []
         for e in body if body is not None else ():
             if e.tag == f"{W}p":
-                p = _paragraph(e, rels, single)
+                p = _paragraph(e, rels, single, breaks)
                 if p["text"] or p["images"]:
                     blocks.append(p)
             elif e.tag == f"{W}tbl":
-                blocks.append(_table(e, rels, single))
+                blocks.append(_table(e, rels, single, breaks))
         media = [{"path": i.filename, "size_bytes": i.file_size} for i in z.infolist() if i.filename.startswith("word/media/") and not i.is_dir()]
         paragraphs = [b for b in blocks if b["type"] == "paragraph"]
         return {
             "document_id": sha[:16], "sha256": sha, "document_type": document_type(z), "source": source, "blocks": blocks,
-            "headers_footers": {"headers": _parts(z, "word/header"), "footers": _parts(z, "word/footer")}, "media": media,
+            "headers_footers": {"headers": _parts(z, "word/header", breaks), "footers": _parts(z, "word/footer", breaks)}, "media": media,
             "statistics": {
                 "paragraphs": len(paragraphs), "tables": len(blocks) - len(paragraphs), "media_files": len(media),
                 "paragraphs_with_images": sum(bool(b["images"]) for b in paragraphs), "tables_anywhere": sum(1 for _ in root.iter(f"{W}tbl")),
@@ -120,7 +123,7 @@ def extract(content: bytes, source: dict, profile: str = "batch") -> dict:
         }
 
 
-def extract_documents(resolved: DataFrame, profile: str = "batch") -> DataFrame:
+def extract_documents(resolved: DataFrame, profile: str = "batch", breaks: dict[str, str] | None = None) -> DataFrame:
     """Rows of resolved(canonical_source_type, canonical_path, canonical_filename, canonical_extension, content, error) as status, error and document.
 
     A record that fails is a row with its error; the batch goes on. Filter to packages before: no filter is pushed through this.
@@ -134,7 +137,7 @@ def extract_documents(resolved: DataFrame, profile: str = "batch") -> DataFrame:
                 try:
                     if r.error is not None:
                         raise FileNotFoundError(r.error)
-                    rows.append(("ok", r.canonical_source_type, r.canonical_path, None, json.dumps(extract(bytes(r.content), source, profile))))
+                    rows.append(("ok", r.canonical_source_type, r.canonical_path, None, json.dumps(extract(bytes(r.content), source, profile, breaks))))
                 except Exception as error:  # noqa: BLE001  see above
                     rows.append(("error", r.canonical_source_type, r.canonical_path, f"{type(error).__name__}: {error}", None))
             yield pd.DataFrame(rows, columns=["status", "source_type", "source", "error", "json"])

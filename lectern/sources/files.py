@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import basename, extension, year_hint
@@ -40,13 +40,12 @@ def _members(with_content: bool):
                 rows = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for info in z.infolist():
-                            if not info.is_dir():
-                                data = z.read(info)
-                                rows.append((archive, info.filename, info.file_size, hashlib.sha256(data).hexdigest(), data if with_content else None, None))
+                        for place, info in enumerate((i for i in z.infolist() if not i.is_dir()), 1):
+                            data = z.read(info)
+                            rows.append((archive, place, info.filename, info.file_size, hashlib.sha256(data).hexdigest(), data if with_content else None, None))
                 except Exception as error:  # noqa: BLE001  one bad archive is a row, not the end of the batch
-                    rows = [(archive, None, None, None, None, f"{type(error).__name__}: {error}")]
-                yield pd.DataFrame(rows, columns=["archive", "member_path", "size_bytes", "sha256", "content", "error"])
+                    rows = [(archive, None, None, None, None, None, f"{type(error).__name__}: {error}")]
+                yield pd.DataFrame(rows, columns=["archive", "place", "member_path", "size_bytes", "sha256", "content", "error"]).astype({"place": "Int32", "size_bytes": "Int64"})
 
     return run
 
@@ -54,7 +53,7 @@ def _members(with_content: bool):
 def archive_members(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
     """Members of all zip archives under root; an archive that cannot be read gives one row with its error."""
     zips = scan(spark, root).where("extension = '.zip'").select("relative_path", "content")
-    return zips.mapInPandas(_members(with_content), "archive string, member_path string, size_bytes long, sha256 string, content binary, error string")
+    return zips.mapInPandas(_members(with_content), "archive string, place int, member_path string, size_bytes long, sha256 string, content binary, error string")
 
 
 def archive_inventory(members: DataFrame) -> DataFrame:
@@ -64,9 +63,8 @@ def archive_inventory(members: DataFrame) -> DataFrame:
 
 
 def archive_listing(members: DataFrame, most: int = 50) -> DataFrame:
-    """The first members of each archive."""
-    place = F.row_number().over(Window.partitionBy("archive").orderBy("member_path"))
-    return members.withColumn("place", place).where(F.col("place") <= most).select("archive", "place", "member_path", "size_bytes", "error")
+    """The first members of each archive in its own order, and the error of one that cannot be read."""
+    return members.where(F.col("error").isNotNull() | (F.col("place") <= most)).select("archive", "place", "member_path", "size_bytes", "error")
 
 
 def resolve(corpus: DataFrame, spark: SparkSession, root: str) -> DataFrame:
@@ -103,11 +101,23 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_json_per_document(df: DataFrame, path: str, key: str = "document_id") -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).partitionBy(key).json(path)
+    """A folder per document; the documents keep their key."""
+    df.withColumn("__document", F.col(key)).write.mode("overwrite").option("ignoreNullFields", False).partitionBy("__document").json(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents of a folder per document or a file each, and error, the text of one that is no JSON object; it ends nothing."""
+    rows = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").schema(f"{schema}, __corrupt string").json(path)
+    return rows.withColumn("error", F.when(F.col("__corrupt").isNotNull(), F.concat(F.lit("JSONDecodeError: "), F.substring("__corrupt", 1, 200)))).drop("__corrupt")
+
+
+def usable_fields(questions: DataFrame) -> DataFrame:
+    """What is shown of sample questions."""
+    return questions.select("id", "competition", "subject", "topic", "difficulty")
 
 
 def as_json_array(df: DataFrame) -> DataFrame:
-    """A report of bounded size as one row with a JSON array."""
+    """A report of bounded size as one row with a JSON array; write rows of unbounded number with write_jsonl()."""
     return df.agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"ignoreNullFields": "false"}).alias("json"))
 
 

@@ -33,7 +33,17 @@ def test_query(spark, duck, name):
         assert sorted(key(r) for r in want.select(*(f'"{c}"' for c in cols)).fetchall()) == rows
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_groups_in_order(spark, duck):
+    got = [r.relative_path for r in Q.queries()["duplicates_in_order"](spark, DATA).collect()]
+    assert len(got) > 10 and got == [r[2] for r in duck.sql(Q.oracle_sql()["duplicates_in_order"]).fetchall()]
+
+
+def test_every_query_has_sql():
+    assert set(Q.queries()) == set(Q.oracle_sql())
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_whole_corpus_in_order(spark, duck):
-    got = [r.question_id for r in Q.queries()["corpus_order_all"](spark, DATA).collect()]
-    assert len(got) > 50 and got == [r[0] for r in duck.sql(Q.oracle_sql()["corpus_order_all"]).fetchall()]
+    got = [r.question_id for r in Q.queries()["corpus_order"](spark, DATA).collect()]
+    assert len(got) > 50 and got == [r[0] for r in duck.sql(Q.oracle_sql()["corpus_order"]).fetchall()]
