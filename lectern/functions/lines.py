@@ -23,8 +23,11 @@ STRICT_ANSWER = "(?i)^\\s*(?:ANSWER|ANS|A)\\b\\s*[:=\\-\\.]?\\s*(.*)$"
 # Labels of special rounds, the first that a label contains counts.
 SPECIAL = {"speed race": "speed_race", "riddle": "riddle", "true or false": "true_false", "problem of the day": "problem_of_day"}
 # Words that begin a question in both grammars, and those of the second one alone.
-STARTERS = "what which who where when why how find calculate determine state give name define explain identify solve evaluate describe arrange mention distinguish select choose"
-MORE_STARTERS = "factorize factorise simplify differentiate prove show"
+STARTERS = (
+    "what", "which", "who", "where", "when", "why", "how", "find", "calculate", "determine", "state", "give",
+    "name", "define", "explain", "identify", "solve", "evaluate", "describe", "arrange", "mention", "distinguish", "select", "choose",
+)
+MORE_STARTERS = ("factorize", "factorise", "simplify", "differentiate", "prove", "show")
 
 # The patterns of the first grammar.
 V1_ROUND = "(?i)^\\s*round\\s*([1-5])(?:\\s*[:\\-]?\\s*(.*))?$"
@@ -53,8 +56,8 @@ def special_of(label: Column) -> Column:
     return out
 
 
-def _starts(c: Column, words: str) -> Column:
-    return F.lower(c).rlike("^(?:" + "|".join(words.split()) + ") ")
+def _starts(c: Column, words: tuple[str, ...]) -> Column:
+    return F.lower(c).rlike("^(?:" + "|".join(words) + ") ")
 
 
 def v2_fields(text: Column, strict: bool = False) -> dict[str, Column]:
@@ -77,7 +80,7 @@ def v2_fields(text: Column, strict: bool = False) -> dict[str, Column]:
         "item_text": item_text,
         "answer": F.when(c.rlike(answer), strip(F.regexp_extract(c, answer, 1))),
         "solution": F.when(c.rlike(SOLUTION), strip(F.regexp_extract(c, SOLUTION, 1))),
-        "is_question": (c != "") & (c.endswith("?") | _starts(c, f"{STARTERS} {MORE_STARTERS}")),
+        "is_question": (c != "") & (c.endswith("?") | _starts(c, STARTERS + MORE_STARTERS)),
         "is_who": F.lower(c).startswith("who am i"),
     }
 

@@ -15,9 +15,18 @@ BAD_TERMS = ("coursebook", "calculus", "solved problems", "bpoc", "textbook")
 GOOD_TERMS = ("contest", "nsmq", "round", "final", "prelim", "question")
 # Terms of the categories that paths hint at.
 FORMATS = {
-    **{f"round_{k}": (f"round {k}", f"round{k}") for k in range(1, 6)},
-    "speed_race": ("speed race",), "true_false": ("true or false",), "riddles": ("riddle",), "problem_of_day": ("problem of the day", "potd"),
-    "final": ("final",), "prelim": ("prelim",), "regional": ("regional",),
+    "round_1": ("round 1", "round1"),
+    "round_2": ("round 2", "round2"),
+    "round_3": ("round 3", "round3"),
+    "round_4": ("round 4", "round4"),
+    "round_5": ("round 5", "round5"),
+    "speed_race": ("speed race",),
+    "true_false": ("true or false",),
+    "riddles": ("riddle",),
+    "problem_of_day": ("problem of the day", "potd"),
+    "final": ("final",),
+    "prelim": ("prelim",),
+    "regional": ("regional",),
 }
 # Names of special samples.
 SPECIAL_SAMPLES = ("speed race", "true or false", "riddle", "problem of the day")
@@ -66,6 +75,11 @@ def unified_corpus(candidates: DataFrame) -> DataFrame:
     )
 
 
+def source_rows(candidates: DataFrame) -> DataFrame:
+    """The sources of each content as rows, for contents with too many for one array."""
+    return candidates.select("sha256", "source_type", "source_path")
+
+
 def packages(corpus: DataFrame) -> DataFrame:
     """Canonical sources that are word-processor packages."""
     return corpus.where(F.col("canonical_extension") == ".docx")

@@ -99,8 +99,8 @@ paper as (
   union all select 'sample', k, x from (values {samples}) s(k, x))"""
 
 
-def _starts_sql(words: str) -> str:
-    return "regexp_matches(lower(text), '^(?:" + "|".join(words.split()) + ") ')"
+def _starts_sql(words: tuple[str, ...]) -> str:
+    return "regexp_matches(lower(text), '^(?:" + "|".join(words) + ") ')"
 
 
 def _extract(pattern: str, group: int) -> str:
@@ -132,7 +132,7 @@ def _fields_sql() -> dict[str, str]:
         "is_contest": f"regexp_matches(text, '{L.CONTEST}') or regexp_matches(text, '{L.PRE_CONTEST}')", "contest": f"coalesce(nullif({_extract(L.CONTEST, 1)}, ''), nullif({_extract(L.PRE_CONTEST, 1)}, ''))::int", "subject": _subject_sql(L.SUBJECT),
         "item_number": f"case when regexp_matches(text, '{L.NUMBER}') then {number} else nullif(lower({_extract(L.LETTER, 1)}), '') end",
         "item_text": f"case when regexp_matches(text, '{L.NUMBER}') then trim({_extract(L.NUMBER, 2)}) when regexp_matches(text, '{L.LETTER}') then trim({_extract(L.LETTER, 2)}) end",
-        "answer": _if(L.ANSWER, 1), "solution": _if(L.SOLUTION, 1), "is_question": f"ends_with(text, '?') or {_starts_sql(L.STARTERS + ' ' + L.MORE_STARTERS)}", "is_who": "starts_with(lower(text), 'who am i')",
+        "answer": _if(L.ANSWER, 1), "solution": _if(L.SOLUTION, 1), "is_question": f"ends_with(text, '?') or {_starts_sql(L.STARTERS + L.MORE_STARTERS)}", "is_who": "starts_with(lower(text), 'who am i')",
     }
 
 

@@ -173,6 +173,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         answers = F.array_join(F.transform("answer_variants", lambda v: F.concat_ws("=", v["answer"], v["count"].cast("string"))), ",")
         return x.select("question_fingerprint", F.sha2("question", 256).alias("question"), answers.alias("answers"), F.array_join(F.transform("sources", lambda v: v["question_id"]), ",").alias("sources"))
 
+    def rescued(s, d):
+        """Whole texts, objects and arrays with other text around them, and texts that cannot be rescued."""
+        p, m = F.col("props"), F.col("event_id") % 4
+        text = F.when(m == 0, p).when(m == 1, F.concat(F.lit("```json "), p, F.lit(" ```"))).when(m == 2, F.concat(F.lit("so: ["), p, F.lit(", 2] done"))).otherwise(F.concat(F.lit("no { "), p))
+        x = table(s, d, "events").select("event_id", m.alias("m"), p.isNotNull().alias("there"), T.rescue_json(text).alias("j"))
+        value = F.when(F.col("m") == 2, F.coalesce(F.get_json_object("j", "$[0].k"), F.get_json_object("j", "$.k"))).otherwise(F.get_json_object("j", "$.k"))
+        return x.select("event_id", F.when(F.col("m") != 3, F.col("j").isNotNull()).alias("found"), F.when(F.col("m") != 3, value).alias("k"))
+
     def examples(s, d):
         dated = stored(_dated(s, d), "dated")
         return topics.forecast_examples(dated, topics.pattern_profile(dated)).select("topic", "topic_rank", "example", "year", "ord")
@@ -230,7 +238,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "year_hist": lambda s, d: files.year_histogram(table(s, d, "orders"), F.concat_ws(" ", F.col("o_orderdate").cast("string"), F.lit("nsmq2020 x_2019 1999"))),
         "keyword_label_counts": lambda s, d: files.label_counts(_docs(s, d), F.col("text"), LABELS),
         "reference_candidates": lambda s, d: files.reference_candidates(_docs(s, d), F.col("text"), ("apache", "license")).select("doc_id"),
-        "competition_hints": lambda s, d: files.competition_hints(_docs(s, d), F.concat_ws(" ", "source", "text")),
+        "competition_hints": lambda s, d: files.competition_hints(_docs(s, d), F.concat_ws(" ", "source", F.when(F.col("doc_id") % 6 == 0, "Shark finals").when(F.col("doc_id") % 4 == 0, "SMQ").when(F.col("doc_id") % 5 == 0, "sharks"), "text")),
+        "file_sources": lambda s, d: files.source_rows(_candidates(s, d)),
         "sample_per_key": samples,
         "subject_of": subjects,
         "topic_scores": lambda s, d: scored_topics(s, d).select("doc_id", F.explode("scores").alias("x")).select("doc_id", "x.topic", "x.score"),
@@ -242,7 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "weak_topics": lambda s, d: quiz.weak_topics(_answers(s, d)).select("topic", "correct", "total"),
         "grade_answers": grades,
         "quiz_progress": lambda s, d: quiz.progress(table(s, d, "events").select("event_id", "user_id"), "user_id", "event_id"),
-        "json_rescue": lambda s, d: table(s, d, "events").select("event_id", T.rescue_json(F.concat(F.lit("Here: "), "props", F.lit(" done"))).isNotNull().alias("found")),
+        "json_rescue": rescued,
         **papers.queries(),
         **storage.queries(),
     }
@@ -299,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
         "year_hist": "select year, count(*) as n from (select unnest(list_distinct(list_concat(regexp_extract_all(cast(o_orderdate as varchar), '\\b(?:19|20)\\d{2}\\b'), ['1999']))) as year from orders) group by year",
         "keyword_label_counts": "with low as (select lower(text) as t from documents) " + " union all ".join(f"select '{k}' as label, count(*) as n from low where {any_of(v)}" for k, v in LABELS.items()),
         "reference_candidates": "select doc_id from documents where contains(lower(text), 'apache') or contains(lower(text), 'license')",
-        "competition_hints": "with low as (select lower(source || ' ' || text) as t from documents) select count(*) filter (where contains(t, 'nsmq') or contains(t, 'smq')) as quiz, count(*) filter (where contains(t, 'sharks')) as sharks, count(*) filter (where contains(t, 'shark')) as shark from low",
+        "competition_hints": "with low as (select lower(concat_ws(' ', source, case when doc_id % 6 = 0 then 'Shark finals' when doc_id % 4 = 0 then 'SMQ' when doc_id % 5 = 0 then 'sharks' end, text)) as t from documents) select count(*) filter (where contains(t, 'nsmq') or contains(t, 'smq')) as quiz, count(*) filter (where contains(t, 'sharks')) as sharks, count(*) filter (where contains(t, 'shark')) as shark from low",
         "sample_per_key": f"with p(pattern, rank) as (values {pattern_values}), low as (select doc_id, lower(text) as t from documents), hits as (select pattern, rank, doc_id, row_number() over (partition by pattern order by (case when contains(t, 'ung') then -100 else 0 end) + (case when contains(t, 'ion') then 10 else 0 end) + (case when contains(t, 'eau') then 10 else 0 end) desc, doc_id) as r from p join low on contains(t, pattern)), best as (select *, row_number() over (partition by doc_id order by rank) as again from hits where r = 1) select pattern, rank::int as rank, doc_id from best where again = 1",
         "subject_of": f"with {clean} select doc_id, case when doc_id % 9 = 0 then lang else {subject} end as subject from low",
         "topic_scores": f"with {clean}, {subj}, {scored} select doc_id, topic, score::int as score from scored where score > 0",
@@ -311,7 +320,8 @@ def oracle_sql() -> dict[str, str]:
         "weak_topics": "select user_id::varchar as topic, count(*) filter (where coalesce(value, 0) >= 30) as correct, count(*) as total from events group by user_id having 100.0 * count(*) filter (where coalesce(value, 0) >= 30) / count(*) < 60",
         "grade_answers": "select event_id, lower(event_type) = (['click', 'view', 'purchase'])[event_id % 3 + 1] and event_type <> '' as correct from events",
         "quiz_progress": "select event_id, user_id, row_number() over (partition by user_id order by event_id)::int as number, count(*) over (partition by user_id) as \"of\" from events",
-        "json_rescue": "select event_id, coalesce(json_valid(regexp_extract(props, '\\{.*\\}')), false) as found from events",
+        "json_rescue": "select event_id, case event_id % 4 when 3 then null else coalesce(json_valid(props), false) end as found, case event_id % 4 when 0 then json_extract_string(props, '$.k') when 1 then json_extract_string(props, '$.k') when 2 then json_extract_string(props, '$.k') end as k from events",
+        "file_sources": f"with {FILES_SQL} select sha256, source_type, source_path from candidates",
         **papers.oracle_sql(),
         **storage.oracle_sql(),
     }
