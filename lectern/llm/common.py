@@ -6,6 +6,7 @@ import contextlib
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -16,8 +17,16 @@ from pyspark.sql import functions as F
 #: Sizes in bits of an id filter. Its broadcast has at most MOST_BITS / 64 rows of 16 bytes (16 MB), whatever the input.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
-#: Paths of tables written within the open scopes of scratch(), innermost last.
-_scopes: list[set[str]] = []
+
+
+class _Scopes(threading.local):
+    """Paths of tables written within the open scopes of scratch(), innermost last, for each thread."""
+
+    def __init__(self):
+        self.open: list[set[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,8 +50,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].add(path)
+    if _scopes.open:
+        _scopes.open[-1].add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,20 +75,20 @@ def discard(df: DataFrame) -> None:
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Deletes at its end the tables that were materialised within, but for those of the frames that the body appends to the yielded list.
 
-    What is kept belongs to the enclosing scope, if there is one. Use it from one thread at a time.
+    What is kept belongs to the enclosing scope, if there is one.
     """
     keep: list[DataFrame] = []
-    _scopes.append(set())
+    _scopes.open.append(set())
     try:
         yield keep
     finally:
-        mine = _scopes.pop()
+        mine = _scopes.open.pop()
         names = {path.rsplit("/", 1)[1] for df in keep for path in _folders(df)}
         for path in mine:
             if path.rsplit("/", 1)[1] not in names:
                 delete(spark, path)
-            elif _scopes:
-                _scopes[-1].add(path)
+            elif _scopes.open:
+                _scopes.open[-1].add(path)
 
 
 def smallest_hashes(df: DataFrame, column: str, most: int) -> DataFrame:
