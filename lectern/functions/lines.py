@@ -41,7 +41,7 @@ V1_SPECIAL = "(?i)^\\s*(speed\\s*race|true\\s+or\\s+false|riddles?|problem\\s+of
 
 
 def _group(c: Column, pattern: str, group: int) -> Column:
-    return F.when(c.rlike(pattern), F.nullif(F.regexp_extract(c, pattern, group), F.lit("")))
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def _subject(c: Column, pattern: str) -> Column:
@@ -60,26 +60,26 @@ def _starts(c: Column, words: tuple[str, ...]) -> Column:
     return F.lower(c).rlike("^(?:" + "|".join(words) + ") ")
 
 
-def v2_fields(text: Column, strict: bool = False) -> dict[str, Column]:
-    """Columns by name for a line of the second grammar; text need not be clean."""
-    c = clean(text)
-    item_number = F.when(c.rlike(NUMBER), F.regexp_replace(F.regexp_extract(c, NUMBER, 1), "^0+(?=\\d)", "")).otherwise(F.lower(_group(c, LETTER, 1)))
-    item_text = F.when(c.rlike(NUMBER), strip(F.regexp_extract(c, NUMBER, 2))).otherwise(F.when(c.rlike(LETTER), strip(F.regexp_extract(c, LETTER, 2))))
+def v2_fields(text: Column, strict: bool = False, cleaned: bool = False) -> dict[str, Column]:
+    """Columns by name for a line of the second grammar; select the cleaned text as a column first and say so, and it is cleaned once."""
+    c = text if cleaned else clean(text)
+    item_number = F.coalesce(F.regexp_replace(_group(c, NUMBER, 1), "^0+(?=\\d)", ""), F.lower(_group(c, LETTER, 1)))
+    item_text = F.trim(F.coalesce(_group(c, NUMBER, 2), _group(c, LETTER, 2)))
     answer = STRICT_ANSWER if strict else ANSWER
     is_contest = c.rlike(CONTEST) | c.rlike(PRE_CONTEST)
     return {
         "is_round": c.rlike(ROUND),
         "round": F.upper(_group(c, ROUND, 2)),
         "round_contest": _group(c, ROUND, 1).cast("int"),
-        "round_label": strip(_group(c, ROUND, 3)),
+        "round_label": F.nullif(F.trim(_group(c, ROUND, 3)), F.lit("")),
         "round_section": special_of(_group(c, ROUND, 3)),
         "is_contest": is_contest,
         "contest": F.coalesce(_group(c, CONTEST, 1), _group(c, PRE_CONTEST, 1)).cast("int"),
         "subject": _subject(c, SUBJECT),
         "item_number": item_number,
         "item_text": item_text,
-        "answer": F.when(c.rlike(answer), strip(F.regexp_extract(c, answer, 1))),
-        "solution": F.when(c.rlike(SOLUTION), strip(F.regexp_extract(c, SOLUTION, 1))),
+        "answer": F.when(c.rlike(answer), F.trim(F.regexp_extract(c, answer, 1))),
+        "solution": F.when(c.rlike(SOLUTION), F.trim(F.regexp_extract(c, SOLUTION, 1))),
         "is_question": (c != "") & (c.endswith("?") | _starts(c, STARTERS + MORE_STARTERS)),
         "is_who": F.lower(c).startswith("who am i"),
     }

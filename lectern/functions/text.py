@@ -24,14 +24,16 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """No-break spaces and runs of white space become one space each, ends are stripped; a null is empty."""
-    return strip(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), " ", " "), "(?U)\\s+", " "))
+    """Runs of white space of any script, no-break spaces among them, become one space each, and none at the ends; a null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", " "))
 
 
 def repair(c: Column) -> Column:
+    """All wrong sequences begin with one of few letters; a text without these is left alone."""
+    out = c
     for bad, good in MOJIBAKE.items():
-        c = F.replace(c, F.lit(bad), F.lit(good))
-    return c
+        out = F.replace(out, F.lit(bad), F.lit(good))
+    return F.when(c.rlike("[" + "".join(sorted({bad[0] for bad in MOJIBAKE})) + "]"), out).otherwise(c)
 
 
 def clean(c: Column) -> Column:
@@ -45,13 +47,15 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def normalize(c: Column, ascii_only: bool = False) -> Column:
     """The form that question texts and answers are compared in. ascii_only leaves out the one step that is no built-in, which ASCII does not need."""
-    c = repair(F.coalesce(c, F.lit("")))
-    if not ascii_only:
-        # ASCII is its own compatibility form: only other rows travel to Python, the rest as nulls.
-        c = F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(~c.rlike("^[\\x00-\\x7f]*$"), c)), c)
+    raw = F.coalesce(c, F.lit(""))
+    if ascii_only:
+        c = raw
+    else:
+        # ASCII needs no repair and is its own compatibility form: only other rows travel to Python, the rest as nulls.
+        c = F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(~raw.rlike("^[\\x00-\\x7f]*$"), repair(raw))), raw)
     c = F.translate(F.lower(c), "–—−", "---")
     c = F.regexp_replace(c, "(?U)\\s+", " ")
-    return strip(F.regexp_replace(c, "\\s*([,.;:!?()\\[\\]{}=+\\-*/<>])\\s*", "$1"))
+    return F.trim(F.regexp_replace(c, "\\s*([,.;:!?()\\[\\]{}=+\\-*/<>])\\s*", "$1"))
 
 
 def clean_answer(c: Column, ascii_only: bool = False) -> Column:

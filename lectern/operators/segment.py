@@ -95,7 +95,7 @@ def classified(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Lines with the fields of the second grammar, and year and subject that the document's path names."""
     x = lines.withColumn("text", clean(F.col("text")))
     path = F.col("path") if "path" in lines.columns else F.lit("")
-    return x.select("document_id", "block", "text", "images", first_year(path).alias("path_year"), subject_hint(path).alias("path_subject"), *(v.alias(k) for k, v in L.v2_fields(F.col("text"), strict).items()))
+    return x.select("document_id", "block", "text", "images", first_year(path).alias("path_year"), subject_hint(path).alias("path_subject"), *(v.alias(k) for k, v in L.v2_fields(F.col("text"), strict, cleaned=True).items()))
 
 
 def _grouped(x: DataFrame) -> DataFrame:

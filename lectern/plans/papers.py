@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import lines as L
-from lectern.functions.text import collapse
+from lectern.functions.text import clean, collapse
 from lectern.operators import segment
 
 SAMPLE_LINES = [
@@ -46,9 +46,9 @@ def paper_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = L.v2_fields(F.col("text"))
+    f = L.v2_fields(F.col("clean"), cleaned=True)
     names = ("is_round", "round", "round_contest", "round_label", "is_contest", "contest", "subject", "item_number", "item_text", "answer", "solution", "is_question", "is_who")
-    return paper_lines(spark, sf_dir).select("document_id", "block", L.v1_kind(collapse(F.col("text"))).alias("v1_kind"), f["round_section"].alias("section"), *(f[n].alias(n) for n in names))
+    return paper_lines(spark, sf_dir).withColumn("clean", clean(F.col("text"))).select("document_id", "block", L.v1_kind(F.col("text")).alias("v1_kind"), f["round_section"].alias("section"), *(f[n].alias(n) for n in names))
 
 
 def context_carry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "docx_block_stats": docx_block_stats,
         "csv_round_trip": _round_trip(files.write_csv, lambda s, path: files.read_csv(s, path, COLUMNS)),
         "jsonl_round_trip": _round_trip(files.write_jsonl, lambda s, path: files.read_jsonl(s, path, COLUMNS)),
-        "json_documents_round_trip": _round_trip(lambda df, path: files.write_json_per_document(df, path, "doc_id"), lambda s, path: files.read_documents(s, path, COLUMNS).where("error is null")),
+        "json_documents_round_trip": _round_trip(files.write_json_per_document, lambda s, path: files.read_documents(s, path, COLUMNS).where("error is null")),
         "json_array_round_trip": json_array,
     }
 

@@ -100,8 +100,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_json_per_document(df: DataFrame, path: str, key: str = "document_id") -> None:
-    """A folder per document; the documents keep their key."""
+def write_json_per_document(df: DataFrame, path: str, key: str | None = None) -> None:
+    """A file per document or, if a key is given, a folder per document that bears it, which costs far more; the documents keep their key."""
+    if key is None:
+        df.write.mode("overwrite").option("ignoreNullFields", False).option("maxRecordsPerFile", 1).json(path)
+        return
     df.withColumn("__document", F.col(key)).write.mode("overwrite").option("ignoreNullFields", False).partitionBy("__document").json(path)
 
 

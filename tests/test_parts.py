@@ -104,8 +104,10 @@ def test_sinks(spark, tmp_path):
     sources.write_jsonl(df, f"file://{tmp_path}/l")
     lines = [json.loads(x) for f in (tmp_path / "l").glob("*.json") for x in f.read_text().splitlines()]
     assert sorted(x["document_id"] for x in lines) == ["d1", "d2"] and any(x["n"] is None and "n" in x for x in lines)
-    sources.write_json_per_document(df, f"file://{tmp_path}/d")
+    sources.write_json_per_document(df, f"file://{tmp_path}/d", "document_id")
     (tmp_path / "d" / "__document=d1" / "bad.json").write_text("{no")
+    sources.write_json_per_document(df, f"file://{tmp_path}/e")
+    assert sorted(json.loads(f.read_text())["document_id"] for f in (tmp_path / "e").glob("*.json") if f.stat().st_size) == ["d1", "d2"]
     back = sources.read_documents(spark, f"file://{tmp_path}/d", "document_id string, t string, n int").collect()
     assert sorted((r.document_id or "", r.error is None) for r in back) == [("", False), ("d1", True), ("d2", True)]
     assert json.loads(sources.as_json_array(df).first()["json"])[0].keys() == {"document_id", "t", "n"}
