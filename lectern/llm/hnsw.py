@@ -278,7 +278,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, shard: int = SHARD
 
     Vectors of equal labels and equal lengths link at a cosine of at least the threshold. A vector that is null, empty or zero, or has a null or
     non-finite component or a null label, links with nothing; a null vec_id is linked with nothing, names no component and is not kept. Rows that
-    repeat a vec_id with an equal vector and label are one vector; with other ones, the counts of all of them are added. Further columns are ignored.
+    repeat a vec_id with an equal vector and label are one vector; with other ones, the counts of all of them are added. A cosine that is the
+    threshold links. Further columns are ignored. An empty table gives an empty table.
     """
     with scratch(vectors.sparkSession) as keep:
         out = _near_vectors(vectors, threshold, shard, block)

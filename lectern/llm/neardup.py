@@ -263,8 +263,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Two documents are linked if percent % of the union of their sets of k-word shingles is shared; component_id is the smallest
     doc_id that can be reached over links. Null, empty and blank texts have no shingles and are linked with nothing.
     Rows that repeat a doc_id are one document, all of its rows get the same component. A row with a null doc_id gets the
-    component of the documents with its text, if any, is never a component's name, and is not kept. Other columns of docs are ignored. An empty
-    table gives an empty table.
+    component of the documents with its text, if any, is never a component's name, and is not kept. A pair right at
+    the threshold is linked. A text of any length is sketched and confirmed as a whole. Other columns of docs are ignored. An empty table gives an empty table.
     """
     with scratch(docs.sparkSession) as keep:
         out = materialise(_components(docs, k, percent, bands, rows, direct), "near-duplicates")

@@ -64,7 +64,7 @@ class TokenRollup:
         """Commits changes(action, source, lang, tokenizer_version, n_tokens, old_tokens), returns whether it was new.
 
         insert adds a document and its tokens, delete takes both away, revise replaces old_tokens by n_tokens. A null count is 0; null keys are a group of
-        their own; other actions are an error. An empty batch is committed too.
+        their own; other actions are an error, and nothing is committed. Repeated rows count each. An empty batch is committed too. Other columns are ignored.
         """
         if self.committed(batch_id):
             return False

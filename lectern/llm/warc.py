@@ -254,8 +254,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes pages(page_id, url, html, ...): of equal payloads of at least `least` bytes the one with the largest page_id is a response, others revisit it.
 
-    A null html is empty. Rows without a page_id have no name in an archive and are left out; rows that repeat both page_id and html are one record.
-    Other columns are ignored.
+    A null html is empty. Rows without a page_id have no name in an archive and are left out; rows that repeat both page_id and html are one record; of
+    one page_id with several payloads each is a record. A payload of any length is written, in segments, and is one row while it is read. An empty table
+    gives an archive without records. Other columns are ignored.
     """
     with scratch(pages.sparkSession):
         _archive(pages, path, least)

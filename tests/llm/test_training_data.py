@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, hnsw, langid, neardup, pieces, rollups, shards, toxicity, urls, warc
-from lectern.llm.common import connected_components, new_path
+from lectern.llm.common import connected_components, new_path, shared_dir
 
 ODD = "doc_id long, text string, lang string, source string, score double, component_id long, item long, n long"
 
@@ -380,7 +381,11 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     odd = odd_docs(spark).withColumn("lang", F.lit("en"))
     odd.write.parquet(f"{tmp_path}/documents.parquet")
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
     got = [r.doc_id for r in c.run(spark, str(tmp_path)).collect()]
+    # What is left is the table that the result reads.
+    assert [x.split("-")[1] for x in set(os.listdir(folder)) - before] == ["decontamination"]
     assert set(got) <= {4, 5, 7, 8, 10, None} and 5 not in got and len(got) == len(set(got))
     odd.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert c.run(spark, str(tmp_path)).count() == 0
