@@ -3,8 +3,8 @@
 Vectors of a label are dealt over shards of at most about SHARD vectors; a graph is built per shard, and every block of vectors
 queries every shard of its label. Equal vectors are one node with a weight. A query's beam is widened until its worst
 member is below the threshold, so that all links fit in it, and a block's beams are widened until its audit passes: for a
-part of its queries the links are counted by brute force within the shard. At the width of the shard the beam is a scan, so
-that there is an exact end to widening. Graphs are walked in single precision; all that comes near the threshold is verified in double precision.
+part of its queries the links are counted by brute force within the shard. Beams of more than WIDEST are as wide as the
+shard, which is a scan, so that there is an exact end to widening whose cost does not grow with the cluster that a query is in. Graphs are walked in single precision; all that comes near the threshold is verified in double precision.
 
 A task holds the blocks of TILE shards and the graphs of TILE shards, so that each graph is sent once for TILE shards that query it.
 """
@@ -25,7 +25,7 @@ BLOCK = 512  # vectors that query a graph together
 TOGETHER = 4  # blocks of a task at least, so that a graph is not sent for every block
 TILE = 4  # shards whose blocks, and shards whose graphs, a task holds
 LINKS = 12  # neighbours per node on the upper layers, twice as many on the lowest
-BUILD_BEAM, FIRST_BEAM = 48, 32
+BUILD_BEAM, FIRST_BEAM, WIDEST = 48, 32, 256
 AUDIT, RECALL = 32, 1.0  # queries of a block that are audited, and the share of their links to be found
 MARGIN = 1e-5  # how far a cosine of single precision may be off
 BEYOND = 0.01  # how far below the threshold the worst member of a beam has to be, so that what lies behind a slightly worse node is found
@@ -269,8 +269,8 @@ def linked(graph: Graph, q: np.ndarray, threshold: float, beam: int = FIRST_BEAM
 
 
 def wider(width: int, n: int) -> int:
-    """The next width of a beam; from a third of the graph on it is a scan, which costs less."""
-    return 2 * width if 6 * width < n else n
+    """The next width of a beam; beyond WIDEST, and from a third of the graph on, it is a scan, which costs less in a graph of bounded size."""
+    return 2 * width if 2 * width <= WIDEST and 6 * width < n else n
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
