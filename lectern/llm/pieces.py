@@ -19,13 +19,16 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words that are kept with their ids, in two generations of CACHE words; longer words than LONGEST are not kept.
-CACHE, LONGEST = 220_000, 64
+CACHE, LONGEST = 150_000, 64
+#: Rows that are encoded together.
+ROWS = 64
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NONE = 1 << 40
 
@@ -197,8 +200,8 @@ def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False, carr
             _models[key] = PieceModel(shared.value)
         model = _models[key]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
                 n, a, b, ids, texts = [], [], [], [], []
                 for text in part.column(1):
                     x, back = model.packed(text.as_py())
@@ -206,14 +209,16 @@ def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False, carr
                     a.append(hashlib.sha256(x).hexdigest())
                     b.append(hashlib.sha256(back).hexdigest())
                     if with_ids:
-                        ids.append(list(struct.unpack(f"<{len(x) // 4}I", x)))
+                        ids.append(x)
                         texts.append(back.decode("utf-8", "replace"))
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                    ends = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))), pa.array(texts, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.record_batch([*columns, *part.columns[2:]], names=[*names, *carry])
+            pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).mapInArrow(encode, schema)
