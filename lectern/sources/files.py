@@ -78,8 +78,15 @@ def resolve(corpus: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     return got.withColumn("error", error).drop("t", "p")
 
 
+#: Of both directions, so that every text comes back as it was: white space at its ends, an empty text beside a null, returns and feeds. A separator of lines that is given is not guessed from the first text.
+_CSV = {"quote": '"', "escape": '"', "emptyValue": "", "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+#: What nothing between separators is read as, so that "" stays an empty text: two characters that Unicode keeps out of texts.
+_NO_TEXT = "\ufdd0\uffff"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema, multiLine=True, quote='"', escape='"')
+    return spark.read.csv(path, schema=schema, header=True, multiLine=True, nullValue=_NO_TEXT, **_CSV)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -92,7 +99,7 @@ def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFram
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    df.write.mode("overwrite").csv(path, header=True, **_CSV | {"emptyValue": '""'})
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
