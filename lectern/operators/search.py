@@ -113,6 +113,7 @@ def retrieve(records: DataFrame, query: str, vocabulary: topics.Vocabulary, k: i
     """The best records of records(question_text, question_type, metadata.subject, ...) with _retrieval_score (4 digits), _subject and _topic.
 
     subject is that which a record has or its text suggests; a record without a type is of the standard one. Both filters leave the statistics alone.
+    Equal scores: smaller key first, as keys compare, so that numbers in texts are no order of numbers.
     """
     x = topics.classified(records, F.col("question_text"), vocabulary, F.col("metadata.subject"))
     keep = F.lit(True)

@@ -165,7 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return found(search.search_index(s, path, QUERY, 20).withColumnRenamed("key", "doc_id"))
 
     def retrieved(s, d):
-        x = search.retrieve(_records(s, d).drop("ord"), QUERY, VOCABULARY, 20, subject="en", kind="en")
+        x = search.retrieve(_records(s, d), QUERY, VOCABULARY, 20, subject="en", kind="en", key="ord")
         return x.select("question_id", "answer", F.col("metadata.year").alias("year"), F.col("_retrieval_score").alias("retrieval_score"), F.col("_subject").alias("subject"), F.col("_topic").alias("topic"))
 
     def conflicts(s, d):

@@ -37,3 +37,9 @@ def test_csv_keeps_every_text(spark, tmp_path):
 def test_csv_query_keeps_every_text(spark, tmp_path):
     path = folder(spark, tmp_path, [(k, "en", "web", 1, t) for k, t in enumerate(ODD)])
     assert same(spark, path, "csv_round_trip")
+
+
+def test_ties_of_retrieval_are_in_order_of_numbers(spark, tmp_path):
+    path = folder(spark, tmp_path, [(k, "en", "web", 1, "the license") for k in range(1, 41)])
+    assert [r.question_id for r in Q.queries()["retrieve"](spark, path).collect()] == [str(k) for k in range(1, 21)]
+    assert same(spark, path, "retrieve")
