@@ -43,3 +43,19 @@ def test_ties_of_retrieval_are_in_order_of_numbers(spark, tmp_path):
     path = folder(spark, tmp_path, [(k, "en", "web", 1, "the license") for k in range(1, 41)])
     assert [r.question_id for r in Q.queries()["retrieve"](spark, path).collect()] == [str(k) for k in range(1, 21)]
     assert same(spark, path, "retrieve")
+
+
+def test_json_documents_are_written_by_tasks_and_read_many_at_once(spark, tmp_path):
+    """No file of Spark's writer, none with a checksum, each text whole, and a task for many files."""
+    df = spark.createDataFrame([(k, ODD[k % len(ODD)]) for k in range(300)], "i long, t string").repartition(3)
+    path = f"file://{tmp_path}/j"
+    for _ in range(2):
+        sources.write_json_per_document(df, path)
+    names = [f.name for f in (tmp_path / "j").iterdir() if not f.name.endswith("_SUCCESS") and not f.name.endswith("_SUCCESS.crc")]
+    assert len(names) == 300 and all(n.startswith("part-") and n.endswith(".json") for n in names)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with sources.many_files(spark):
+        back = sources.read_documents(spark, path, "i long, t string")
+        assert back.rdd.getNumPartitions() <= 8
+        assert {r.i: r.t for r in back.where("error is null").collect()} == {k: ODD[k % len(ODD)] for k in range(300)}
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
