@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +21,24 @@ TOKEN = "[a-z0-9]+(?:['’\\-][a-z0-9]+)*"
 YEAR = "\\b(?:19|20)\\d{2}\\b"
 
 
+#: A Python worker holds the objects of so many rows and bytes at once, however large the batches are that it is sent.
+PIECE_ROWS, PIECE_BYTES = 256, 1 << 20
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, bounded by the bytes of a column too; a row that is larger comes alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = total = 0
+        for k, n in enumerate(sizes):
+            if k > start and (k - start >= PIECE_ROWS or total + n > PIECE_BYTES):
+                yield batch.slice(start, k - start)
+                start, total = k, 0
+            total += n
+        if start < len(sizes):
+            yield batch.slice(start)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at the ends."""
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")

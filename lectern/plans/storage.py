@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import pieces
 from lectern.operators import files as ops
 from lectern.sources import docx, files
 from lectern.sources.shared import delete, new_path, stored, write_file
@@ -90,16 +91,18 @@ _BARE = "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\x{fffe}\\x{ffff}]"
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a package, in the form of resolve(); every tenth is broken."""
 
-    @F.pandas_udf("binary")
-    def pack(text: pd.Series, source: pd.Series, lang: pd.Series) -> pd.Series:
-        return pd.Series([package(t.split("\n"), [s, x], s) for t, s, x in zip(text, source, lang, strict=True)])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            doc, source, lang, text = (c.to_pylist() for c in part.columns)
+            content = [b"broken" if k % 10 == 0 else package(t.split("\n"), [s or "", x or ""], s or "") for k, s, x, t in zip(doc, source, lang, text, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(source, pa.string()), pa.array(content, pa.binary())], ["doc_id", "source", "content"])
 
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(" 2020.docx"))
     text = F.regexp_replace(F.coalesce("text", F.lit("")), _BARE, " ")
-    content = F.when(F.col("doc_id") % 10 == 0, F.lit(b"broken")).otherwise(pack(text, F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "source", "lang", text.alias("text"))
+    return docs.mapInArrow(pack, "doc_id long, source string, content binary").select(
         F.lit("loose_file").alias("canonical_source_type"), F.concat("source", F.lit("/"), name).alias("canonical_path"), name.alias("canonical_filename"), F.lit(".docx").alias("canonical_extension"),
-        content.alias("content"), F.lit(None).cast("string").alias("error"),
+        "content", F.lit(None).cast("string").alias("error"),
     )
 
 

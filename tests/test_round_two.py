@@ -1,8 +1,11 @@
 """What the second review found."""
 
 import duckdb
+import pyarrow as pa
 
+from lectern.functions import text as T
 from lectern.plans import queries as Q
+from lectern.sources import docx
 from lectern.sources import files as sources
 
 COLUMNS = "doc_id long, lang string, source string, n_chars long, text string"
@@ -59,3 +62,36 @@ def test_json_documents_are_written_by_tasks_and_read_many_at_once(spark, tmp_pa
         assert back.rdd.getNumPartitions() <= 8
         assert {r.i: r.t for r in back.where("error is null").collect()} == {k: ODD[k % len(ODD)] for k in range(300)}
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def batch(texts):
+    return pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())})
+
+
+def test_workers_hold_pieces():
+    texts = ["x" * 10] * 1000 + [None] + ["y" * (T.PIECE_BYTES // 2 + 1)] * 5 + ["z" * 3 * T.PIECE_BYTES, ""]
+    parts = list(T.pieces([batch(texts), batch([])], "t"))
+    assert [v for p in parts for v in p.column(0).to_pylist()] == texts
+    for p in parts:
+        size = sum(len(v or "") for v in p.column(0).to_pylist())
+        assert p.num_rows <= T.PIECE_ROWS and (size <= T.PIECE_BYTES or p.num_rows == 1)
+
+
+def test_packages_are_extracted_in_pieces(spark):
+    """No batch that leaves the extraction is larger than a piece."""
+    seen = []
+    resolved = spark.createDataFrame([("loose_file", "x", "x", ".docx", b"", None)], "canonical_source_type string, canonical_path string, canonical_filename string, canonical_extension string, content binary, error string")
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            n = 3 * T.PIECE_ROWS
+            columns = [["loose_file"] * n, ["x"] * n, ["x"] * n, [".docx"] * n, [b"no archive"] * n, [None] * n]
+            seen.extend(run([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 4 + [pa.binary(), pa.string()], strict=True)], names=list("abcd") + ["content", "error"])]))
+            return spark.createDataFrame([], schema)
+
+    assert docx.extract_documents(resolved).collect()[0].error.startswith("BadZipFile")
+    docx.extract_documents(Frame())
+    assert sum(b.num_rows for b in seen) == 3 * T.PIECE_ROWS and max(b.num_rows for b in seen) <= T.PIECE_ROWS
