@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -62,8 +61,21 @@ def clean(c: Column) -> Column:
     return collapse(repair(F.coalesce(c, F.lit(""))))
 
 
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def _nfkc(s: pa.Array) -> pa.Array:
+    if s.null_count == len(s):
+        return s.cast(pa.string())
+    batch = pa.RecordBatch.from_arrays([s], ["s"])
+    normal = (pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in p.column(0).to_pylist()], pa.string()) for p in pieces([batch], "s"))
+    return pa.concat_arrays(list(normal))
+
+
+def _inert() -> str:
+    """A character class of which any text is its own compatibility form: none of it combines. Single characters below 256 are one table for the matcher, ranges are tried in turn, so there are few."""
+    good = lambda c: unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c))
+    return "\\x00-\\x7f" + "".join(f"\\x{{{c:x}}}" for c in range(0x80, 0x100) if good(c)) + "\\x{2012}-\\x{2016}\\x{2018}-\\x{2022}\\x{20ac}"
+
+
+INERT = _inert()
 
 
 def normalize(c: Column, ascii_only: bool = False) -> Column:
@@ -72,8 +84,9 @@ def normalize(c: Column, ascii_only: bool = False) -> Column:
     if ascii_only:
         c = raw
     else:
-        # ASCII needs no repair and is its own compatibility form: only other rows travel to Python, the rest as nulls.
-        c = F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(~raw.rlike("^[\\x00-\\x7f]*$"), repair(raw))), raw)
+        # Only texts with other characters than those of INERT travel to Python, once repaired; the rest as nulls.
+        c = repair(raw)
+        c = F.coalesce(F.arrow_udf(_nfkc, "string")(F.when(c.rlike(f"[^{INERT}]"), c)), c)
     c = F.translate(F.lower(c), "–—−", "---")
     c = F.regexp_replace(c, "(?U)\\s+", " ")
     return F.trim(F.regexp_replace(c, "\\s*([,.;:!?()\\[\\]{}=+\\-*/<>])\\s*", "$1"))

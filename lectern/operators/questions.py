@@ -27,7 +27,7 @@ def canonical_rank() -> Column:
 
 
 def canonical_questions(p: DataFrame) -> DataFrame:
-    """One record per fingerprint of prepared(): the best one, counts, lineage, variants of metadata and answers."""
+    """One record per fingerprint of prepared(): the best one, counts, lineage, variants of metadata and answers. p is read twice: see conflict_report()."""
     keep = [c for c in p.columns if c not in ("question_fingerprint", "norm_answer", "ord")]
     source = F.struct("ord", "question_id", F.col("source.document_id").alias("document_id"), F.col("source.start_block").alias("start_block"), F.col("source.end_block").alias("end_block"), "metadata")
     rows = p.groupBy("question_fingerprint").agg(
@@ -54,7 +54,10 @@ def answer_conflicts(p: DataFrame) -> DataFrame:
 
 
 def conflict_report(p: DataFrame) -> DataFrame:
-    """question_fingerprint, question, answer_variants, sources of each conflict: the canonical text, the counted answers without blanks, all records."""
+    """question_fingerprint, question, answer_variants, sources of each conflict: the canonical text, the counted answers without blanks, all records.
+
+    p is read three times: hand it in as stored(), without normalized_question, so that texts are normalised once.
+    """
     conflicts = answer_conflicts(p).select(F.col("question_fingerprint").alias("f"))
     rows = canonical_questions(p.join(conflicts, F.col("question_fingerprint") == F.col("f"), "left_semi"))
     return rows.select("question_fingerprint", F.col("question_text").alias("question"), "answer_variants", "sources")

@@ -101,6 +101,11 @@ def _prepared(spark, d):
     return questions.prepared(_records(spark, d))
 
 
+def _prepared_once(spark, d):
+    """_prepared() for queries that read it more than once and show no normalised text: written without it."""
+    return stored(_prepared(spark, d).drop("normalized_question"), "prepared")
+
+
 def _dated(spark, d):
     """Order lines as records: the brand is the topic, the year that of the order."""
     orders = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
@@ -169,7 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return x.select("question_id", "answer", F.col("metadata.year").alias("year"), F.col("_retrieval_score").alias("retrieval_score"), F.col("_subject").alias("subject"), F.col("_topic").alias("topic"))
 
     def conflicts(s, d):
-        x = questions.conflict_report(_prepared(s, d))
+        x = questions.conflict_report(_prepared_once(s, d))
         answers = F.array_join(F.transform("answer_variants", lambda v: F.concat_ws("=", v["answer"], v["count"].cast("string"))), ",")
         return x.select("question_fingerprint", F.sha2("question", 256).alias("question"), answers.alias("answers"), F.array_join(F.transform("sources", lambda v: v["question_id"]), ",").alias("sources"))
 
@@ -215,8 +220,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_text": lambda s, d: _docs(s, d).select("doc_id", T.clean(F.col("text")).alias("clean")),
         "normalize_text": lambda s, d: _docs(s, d).select("doc_id", T.normalize(F.col("text")).alias("norm")),
         "fingerprint": lambda s, d: _docs(s, d).select("doc_id", T.fingerprint(F.col("lang"), F.col("text")).alias("fp")),
-        "question_dedup": lambda s, d: questions.canonical_questions(_prepared(s, d)).select("question_fingerprint", "question_id", "duplicate_count", F.size("metadata_variants").alias("metadata_variants"), "solution_count", F.array_join(F.transform("sources", lambda x: x["question_id"]), ",").alias("sources"), F.array_join(F.transform("answer_variants", lambda x: F.concat_ws("=", x["answer"], x["count"].cast("string"))), ",").alias("answers")),
-        "duplicate_report": lambda s, d: questions.duplicate_report(questions.canonical_questions(_prepared(s, d))).select("question_fingerprint", "count", "question_type"),
+        "question_dedup": lambda s, d: questions.canonical_questions(_prepared_once(s, d)).select("question_fingerprint", "question_id", "duplicate_count", F.size("metadata_variants").alias("metadata_variants"), "solution_count", F.array_join(F.transform("sources", lambda x: x["question_id"]), ",").alias("sources"), F.array_join(F.transform("answer_variants", lambda x: F.concat_ws("=", x["answer"], x["count"].cast("string"))), ",").alias("answers")),
+        "duplicate_report": lambda s, d: questions.duplicate_report(questions.canonical_questions(_prepared_once(s, d))).select("question_fingerprint", "count", "question_type"),
         "answer_variants": lambda s, d: questions.answer_variants(_prepared(s, d)).select("question_fingerprint", "answer", "n"),
         "answer_conflicts": lambda s, d: questions.answer_conflicts(_prepared(s, d)),
         "conflict_report": conflicts,

@@ -1,7 +1,11 @@
 """What the second review found."""
 
+import re
+import unicodedata
+
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.plans import queries as Q
@@ -95,3 +99,29 @@ def test_packages_are_extracted_in_pieces(spark):
     assert docx.extract_documents(resolved).collect()[0].error.startswith("BadZipFile")
     docx.extract_documents(Frame())
     assert sum(b.num_rows for b in seen) == 3 * T.PIECE_ROWS and max(b.num_rows for b in seen) <= T.PIECE_ROWS
+
+
+def test_inert_texts_are_their_own_form():
+    """Each of the characters, and any two of them, are what normalisation leaves as they are; then so is any text of them, as none combines."""
+    good = [chr(c) for c in range(0x2100) if re.fullmatch(f"[{re.sub(r'\\x{([0-9a-f]+)}', lambda m: re.escape(chr(int(m[1], 16))), T.INERT)}]", chr(c))]
+    assert {"a", "é", "ß", "–", "’", "€"} < set(good) and not {"ª", "²", "½", "ﬁ", "́", " ", "…"} & set(good)
+    for a in good:
+        text = "".join(a + b for b in good)
+        assert unicodedata.normalize("NFKC", text) == text and unicodedata.combining(a) == 0
+
+
+def test_only_other_texts_travel_to_python(spark):
+    texts = ["", "plain", "über – “ça”", "ﬁ ½ x", "é", "10â€“20 °", "Â½", "Ångström Å", "a b", None, "Ï€ Î¸", "жизнь̀"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+
+    def plain(t):
+        t = t or ""
+        for bad, good in T.MOJIBAKE.items():
+            t = t.replace(bad, good)
+        t = unicodedata.normalize("NFKC", t).lower().translate(str.maketrans("–—−", "---"))
+        t = re.sub(r"\s+", " ", t)
+        return re.sub(r"\s*([,.;:!?()\[\]{}=+\-*/<>])\s*", r"\1", t).strip(" ")
+
+    assert {r.i: r.n for r in df.select("i", T.normalize(F.col("t")).alias("n")).collect()} == {k: plain(t) for k, t in enumerate(texts)}
+    seen = df.where(F.col("t").rlike(f"[^{T.INERT}]")).select("i").collect()
+    assert {3, 4, 7, 11} <= {r.i for r in seen} and not {0, 1, 2} & {r.i for r in seen}
