@@ -76,8 +76,8 @@ def scores(docs: DataFrame, key: str, text: Column, query: str) -> DataFrame:
 
 def scores_from_index(index: DataFrame, sizes: DataFrame, key: str, query: str) -> DataFrame:
     """The same from a stored index: only the postings of the query's terms are read and joined."""
-    terms = index.sparkSession.createDataFrame([(t,) for t in query_terms(query)], "qterm string")
-    mine = index.join(F.broadcast(terms), F.col("term") == F.col("qterm")).select(key, "term", "tf")
+    # A filter and no join: it is pushed below the grouping of an index that is made here, so that other terms are not shuffled.
+    mine = index.where(F.col("term").isin(query_terms(query))).select(key, "term", "tf")
     df = F.broadcast(mine.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     part = mine.join(df, "term").join(sizes, key).crossJoin(F.broadcast(corpus_stats(sizes)))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

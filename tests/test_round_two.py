@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import search
 from lectern.plans import queries as Q
 from lectern.sources import docx
 from lectern.sources import files as sources
@@ -125,3 +126,17 @@ def test_only_other_texts_travel_to_python(spark):
     assert {r.i: r.n for r in df.select("i", T.normalize(F.col("t")).alias("n")).collect()} == {k: plain(t) for k, t in enumerate(texts)}
     seen = df.where(F.col("t").rlike(f"[^{T.INERT}]")).select("i").collect()
     assert {3, 4, 7, 11} <= {r.i for r in seen} and not {0, 1, 2} & {r.i for r in seen}
+
+
+def test_other_terms_are_not_shuffled(spark):
+    """The filter is below the first grouping of the postings."""
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "b x")], "doc_id long, text string")
+    index = search.postings(docs, "doc_id", F.col("text"))
+    found = search.scores_from_index(index, search.lengths(docs, "doc_id", F.col("text")), "doc_id", "b zz")
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "qterm" not in text and "term#" in text and "IN (b,zz)" in text
+    lines = text.splitlines()
+    k = next(k for k, x in enumerate(lines) if "IN (b,zz)" in x)
+    assert any("Aggregate" in x for x in lines[:k]) and not any("Aggregate" in x for x in lines[k : k + 2]) and "Generate" in "".join(lines[k : k + 3])
+    assert {r.doc_id for r in found.collect()} == {1, 2}
+    assert search.scores_from_index(index, search.lengths(docs, "doc_id", F.col("text")), "doc_id", "?!").count() == 0
