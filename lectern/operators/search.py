@@ -128,25 +128,38 @@ def retrieve(records: DataFrame, query: str, vocabulary: topics.Vocabulary, k: i
     return rows.orderBy(F.desc(F.round("score", 9)), key).select(*records.columns, F.round("score", 4).alias("_retrieval_score"), F.col("subject").alias("_subject"), F.col("topic").alias("_topic"))
 
 
-#: Folders of a stored index: a query reads those of its terms.
-PARTS = 64
+#: Parts of the terms, and of the keys, that postings of a stored index are dealt out by.
+PARTS, SLICES = 64, 8
 
+#: The code of a row that stands for a document.
+DOCUMENT = -1
 
-def _part(term: Column) -> Column:
-    return F.pmod(F.crc32(term), F.lit(PARTS)).cast("int")
+
+def _counted(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, dl, term, tf), and a row without a term for each document. A document's tokens are sorted and counted in its row, so that nothing is shuffled for it."""
+    tok = docs.select(F.col(key).alias("key"), F.sort_array(tokens(text)).alias("t")).select("key", "t", F.size("t").alias("n"))
+    # Where a run of equal tokens begins; -1 is the document's row.
+    starts = F.filter(F.sequence(F.lit(-1), F.col("n") - 1), lambda i: (i <= 0) | (F.get("t", i) != F.get("t", i - 1)))
+    run = lambda i, j: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("starts", j + 1), F.col("n")) - i).cast("long").alias("tf"))
+    rows = tok.select("key", "t", "n", starts.alias("starts")).select("key", F.col("n").cast("long").alias("dl"), F.explode(F.transform("starts", run)).alias("x"))
+    return rows.select("key", "dl", "x.term", "x.tf")
 
 
 def write_index(docs: DataFrame, key: str, text: Column, path: str) -> None:
-    """Postings (term, key, tf, dl) by parts of the terms, and the statistics."""
-    tok = docs.select(F.col(key).alias("key"), tokens(text).alias("t")).select("key", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term"))
-    counted = tok.groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = counted.where("term is not null").withColumn("part", _part(F.col("term")))
-    postings.repartition("part", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    lengths(docs, key, text).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).write.mode("overwrite").parquet(f"{path}/statistics")
+    """Postings (code, term, key, tf, dl) in the order of code, a number of the term, in each file, and the statistics. No two documents have one key.
+
+    One pass over the texts and one shuffle. Numbers sort without comparing rows. A row per document (DOCUMENT) is written too, and the statistics are taken of these.
+    """
+    rows = _counted(docs, key, text).withColumn("code", F.coalesce(F.crc32("term"), F.lit(DOCUMENT).cast("long")))
+    rows = rows.repartition(F.pmod("code", F.lit(PARTS)), F.pmod(F.xxhash64("key"), F.lit(SLICES))).sortWithinPartitions("code")
+    # A dictionary of keys would not pay.
+    rows.select("code", "term", "key", "tf", "dl").write.mode("overwrite").option("parquet.enable.dictionary#key", "false").parquet(f"{path}/postings")
+    sizes = docs.sparkSession.read.parquet(f"{path}/postings").where(F.col("code") == DOCUMENT)
+    sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
 def search_index(spark: SparkSession, path: str, query: str, k: int = 8) -> DataFrame:
-    """key, score of the k best documents of a stored index: only the parts of the query's terms are read, and of them the row groups that may hold one."""
+    """key, score of the k best documents of a stored index: only pages that may hold one of the query's terms are read."""
     terms = query_terms(query)
     stats = spark.read.parquet(f"{path}/statistics").first()
     rows = spark.read.parquet(f"{path}/postings")
@@ -154,7 +167,7 @@ def search_index(spark: SparkSession, path: str, query: str, k: int = 8) -> Data
         return rows.select("key", F.lit(0.0).alias("score")).limit(0)
     import zlib
 
-    mine = rows.where(F.col("part").isin(sorted({zlib.crc32(t.encode()) % PARTS for t in terms})) & F.col("term").isin(terms))
+    mine = rows.where(F.col("code").isin(sorted({zlib.crc32(t.encode()) for t in terms})) & F.col("term").isin(terms))
     df = {r["term"]: r["df"] for r in mine.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
     if not df:
         return mine.select("key", F.lit(0.0).alias("score"))
