@@ -60,21 +60,26 @@ def _starts(c: Column, words: tuple[str, ...]) -> Column:
     return F.lower(c).rlike("^(?:" + "|".join(words) + ") ")
 
 
+def answer_pattern(strict: bool) -> str:
+    return STRICT_ANSWER if strict else ANSWER
+
+
 def v2_fields(text: Column, strict: bool = False, cleaned: bool = False) -> dict[str, Column]:
     """Columns by name for a line of the second grammar; select the cleaned text as a column first and say so, and it is cleaned once."""
     c = text if cleaned else clean(text)
     item_number = F.coalesce(F.regexp_replace(_group(c, NUMBER, 1), "^0+(?=\\d)", ""), F.lower(_group(c, LETTER, 1)))
     item_text = F.trim(F.coalesce(_group(c, NUMBER, 2), _group(c, LETTER, 2)))
-    answer = STRICT_ANSWER if strict else ANSWER
-    is_contest = c.rlike(CONTEST) | c.rlike(PRE_CONTEST)
+    answer = answer_pattern(strict)
+    # Few lines are headers; the parts of one are looked for in these alone.
+    is_round, is_contest = c.rlike(ROUND), c.rlike(CONTEST) | c.rlike(PRE_CONTEST)
     return {
-        "is_round": c.rlike(ROUND),
-        "round": F.upper(_group(c, ROUND, 2)),
-        "round_contest": _group(c, ROUND, 1).cast("int"),
-        "round_label": F.nullif(F.trim(_group(c, ROUND, 3)), F.lit("")),
-        "round_section": special_of(_group(c, ROUND, 3)),
+        "is_round": is_round,
+        "round": F.when(is_round, F.upper(_group(c, ROUND, 2))),
+        "round_contest": F.when(is_round, _group(c, ROUND, 1).cast("int")),
+        "round_label": F.when(is_round, F.nullif(F.trim(_group(c, ROUND, 3)), F.lit(""))),
+        "round_section": F.when(is_round, special_of(_group(c, ROUND, 3))),
         "is_contest": is_contest,
-        "contest": F.coalesce(_group(c, CONTEST, 1), _group(c, PRE_CONTEST, 1)).cast("int"),
+        "contest": F.when(is_contest, F.coalesce(_group(c, CONTEST, 1), _group(c, PRE_CONTEST, 1)).cast("int")),
         "subject": _subject(c, SUBJECT),
         "item_number": item_number,
         "item_text": item_text,

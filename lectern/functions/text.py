@@ -48,6 +48,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)\\s+", " "))
 
 
+def filled(c: Column) -> Column:
+    """Whether anything is left of a text that is collapsed; a null is empty."""
+    return F.coalesce(c.rlike("(?U)\\S"), F.lit(False))
+
+
 def repair(c: Column) -> Column:
     """All wrong sequences begin with one of few letters; a text without these is left alone."""
     out = c

@@ -12,22 +12,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import lines as L
-from lectern.functions.text import clean, collapse, first_year, subject_hint
+from lectern.functions.text import clean, collapse, filled, first_year, subject_hint
 from lectern.schemas import IMAGES
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
     """Paragraphs of documents(document_id, blocks) as lines: number of the block among all blocks, collapsed text; empty ones are left out."""
     rows = documents.select("document_id", F.posexplode("blocks").alias("pos", "b"))
-    rows = rows.where("b.type = 'paragraph'").select("document_id", (F.col("pos") + 1).alias("block"), collapse(F.col("b.text")).alias("text"), F.col("b.images").alias("images"))
-    return rows.where("text <> ''")
+    rows = rows.where((F.col("b.type") == "paragraph") & filled(F.col("b.text")))
+    return rows.select("document_id", (F.col("pos") + 1).alias("block"), collapse(F.col("b.text")).alias("text"), F.col("b.images").alias("images"))
 
 
 def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines of plain texts in the same form."""
-    rows = docs.select(F.col(key).cast("string").alias("document_id"), F.posexplode(F.split(text, "\n")).alias("pos", "t"))
-    rows = rows.select("document_id", (F.col("pos") + 1).alias("block"), collapse(F.col("t")).alias("text"), F.expr(f"cast(array() as {IMAGES})").alias("images"))
-    return rows.where("text <> ''")
+    rows = docs.select(F.col(key).cast("string").alias("document_id"), F.posexplode(F.split(text, "\n")).alias("pos", "t")).where(filled(F.col("t")))
+    return rows.select("document_id", (F.col("pos") + 1).alias("block"), collapse(F.col("t")).alias("text"), F.expr(f"cast(array() as {IMAGES})").alias("images"))
 
 
 def _document() -> tuple:
@@ -92,92 +91,116 @@ V2_COLUMNS = (
 
 
 def classified(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Lines with the fields of the second grammar, and year and subject that the document's path names."""
-    x = lines.withColumn("text", clean(F.col("text")))
+    """Lines with the fields of the second grammar, whether they are an answer or a solution, and year and subject that the document's path names."""
     path = F.col("path") if "path" in lines.columns else F.lit("")
-    return x.select("document_id", "block", "text", "images", first_year(path).alias("path_year"), subject_hint(path).alias("path_subject"), *(v.alias(k) for k, v in L.v2_fields(F.col("text"), strict, cleaned=True).items()))
+    x = lines.select("document_id", "block", "images", first_year(path).alias("path_year"), subject_hint(path).alias("path_subject"), clean(F.col("text")).alias("text"))
+    f = L.v2_fields(F.col("text"), strict, cleaned=True)
+    return x.select("*", *(v.alias(k) for k, v in f.items()), F.col("text").rlike(L.answer_pattern(strict)).alias("is_answer"), F.col("text").rlike(L.SOLUTION).alias("is_solution"))
 
 
 def _grouped(x: DataFrame) -> DataFrame:
-    """Content lines of classified() with their group: seg, c1 (its first line's block), its last block, and the context at its first line."""
-    doc, so_far = _document()
+    """Content lines of classified() with their group (seg, numbered from its header), its last block and the context that holds in it."""
+    block = F.col("block")
     header = F.col("is_round") | F.col("is_contest")
-    x = x.withColumn("header", header).withColumn("seg", F.sum(header.cast("int")).over(so_far))
+    # Backwards, as a frame that ends with the document would be gone through again for each line.
+    back = Window.partitionBy("document_id").orderBy(F.desc("block"))
+    x = x.withColumn("header", header)
+    closed = F.last(F.when(F.col("header"), block), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)) - 1
+    x = x.withColumn("group_end", F.coalesce(closed, F.max("block").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    _, so_far = _document()
     # A struct, so that a round without a special section resets it.
     context = {
         "c_contest": F.when(F.col("is_round"), F.col("round_contest")).when(F.col("is_contest"), F.col("contest")),
         "c_round": F.when(F.col("is_round"), F.col("round")),
         "c_section": F.when(F.col("is_round"), F.struct(F.col("round_section").alias("v"))),
-        "c_subject": F.when(~header, F.col("subject")),
+        "c_subject": F.when(~F.col("header"), F.col("subject")),
     }
-    x = x.select("*", *(F.last(v, ignorenulls=True).over(so_far).alias(k) for k, v in context.items()))
-    after = doc.rowsBetween(1, Window.unboundedFollowing)
-    closed = F.min(F.when(header, F.col("block"))).over(after) - 1
-    x = x.withColumn("group_end", F.coalesce(closed, F.max("block").over(Window.partitionBy("document_id"))))
+    x = x.select("*", F.sum(F.col("header").cast("int")).over(so_far).alias("seg"), *(F.last(v, ignorenulls=True).over(so_far).alias(k) for k, v in context.items()))
     x = x.where(~F.col("header") & F.col("subject").isNull())
-    seg = Window.partitionBy("document_id", "seg")
-    first = F.first(F.struct(F.coalesce("c_section.v", F.lit("standard")).alias("type"), F.col("c_contest").alias("contest"), F.col("c_round").alias("round"), F.coalesce("c_subject", "path_subject").alias("subject"))).over(seg.orderBy("block"))
-    return x.withColumn("c1", F.min("block").over(seg)).withColumn("g", first).withColumn("group", F.dense_rank().over(Window.partitionBy("document_id").orderBy("seg")))
+    # Within a group only the subject can change.
+    return x.select(
+        "document_id", "seg", "block", "text", "images", "path_year", "item_number", "is_answer", "is_solution", "is_question", "is_who", "group_end", F.coalesce("c_section.v", F.lit("standard")).alias("type"),
+        F.col("c_contest").alias("contest"), F.col("c_round").alias("round"), F.coalesce("c_subject", "path_subject").alias("subject"),
+    )
+
+
+def _group() -> tuple:
+    """Windows over a group's lines: all, up to each line and before it. All are in one order, so that lines are sorted once."""
+    order = Window.partitionBy("document_id", "seg").orderBy("block")
+    return (order.rowsBetween(Window.unboundedPreceding, k) for k in (Window.unboundedFollowing, Window.currentRow, -1))
 
 
 def _roles(x: DataFrame) -> DataFrame:
-    """_grouped() with the role of each line: item, text, answer and solution from the first item on (phase B, from block p); before it alone (text of standalone
-    questions), answer, solution, overwrite (a prompt that replaces what was there) and prompt."""
-    seg = Window.partitionBy("document_id", "seg")
-    block, item = F.col("block"), F.col("item_number").isNotNull()
-    riddle_end = (F.col("g.type") == "riddle") & F.col("is_who") & (block > F.col("c1"))
-    x = x.withColumn("s0", F.min(F.when(~item & F.col("is_question") & ~riddle_end, block)).over(seg))
-    first_item = item & ~(F.col("answer").isNotNull() & F.coalesce(block > F.col("s0"), F.lit(False)))
-    x = x.withColumn("p", F.min(F.when(first_item, block)).over(seg))
+    """_grouped() with c1, the block of the group's first line, the subject there, and the role of each line: item, text, answer and solution from the first item on
+    (phase B, from block p); before it alone (text of standalone questions), answer, solution, overwrite (a prompt that replaces what was there) and prompt."""
+    whole, so_far, _ = _group()
+    block, item, asks, who = F.col("block"), F.col("item_number").isNotNull(), F.col("is_question"), (F.col("type") == "riddle") & F.col("is_who")
+    least = lambda condition: F.min(F.when(condition, block)).over(whole)
+    first = F.first(F.struct("block", "subject", (~item & asks).alias("asks"))).over(so_far)
+    x = x.select("*", first.alias("f"), least(~item & asks & ~who).alias("asked_first"), least(item & ~F.col("is_answer")).alias("item_first"), least(item & F.col("is_answer")).alias("either_first"))
+    # The first line alone may ask who it is; an item that is an answer too counts unless a question stands before it.
+    x = x.withColumn("c1", F.col("f.block")).withColumn("subject", F.col("f.subject")).withColumn("s0", F.least("asked_first", F.when(F.col("f.asks"), F.col("f.block"))))
+    x = x.withColumn("p", F.least("item_first", F.when(F.coalesce(F.col("either_first") <= F.col("s0"), F.lit(True)), F.col("either_first")))).drop("f", "asked_first", "item_first", "either_first")
+    riddle_end = who & (block > F.col("c1"))
     late, standing = F.coalesce(block >= F.col("p"), F.lit(False)), F.coalesce(block > F.col("s0"), F.lit(False))
     target = (late & (block > F.col("p"))) | (~late & standing)
     role = (
-        F.when(target & F.col("answer").isNotNull(), "answer").when(target & F.col("solution").isNotNull(), "solution").when(late & item, "item").when(late, "text")
+        F.when(target & F.col("is_answer"), "answer").when(target & F.col("is_solution"), "solution").when(late & item, "item").when(late, "text")
         .when(riddle_end, "overwrite").when(block >= F.col("s0"), "alone").otherwise("prompt")
     )
     x = x.withColumn("late", late).withColumn("role", role)
+    role = F.col("role")
+    count = lambda condition: F.sum(condition.cast("int")).over(so_far)
+    x = x.select(
+        "*", F.min(F.when((role == "alone") & (block > F.col("s0")), block)).over(whole).alias("premise"), F.max(F.when(role == "overwrite", block)).over(whole).alias("replaced"),
+        count(~F.col("late") & (role == "answer")).alias("answers"), count(role == "item").alias("items"),
+    )
     # In a group of true or false whose first line is a question, the next text is the premise.
-    premise = F.min(F.when((F.col("role") == "alone") & (block > F.col("s0")), block)).over(seg)
-    x = x.withColumn("premise", F.when((F.col("g.type") == "true_false") & (F.col("s0") == F.col("c1")), premise))
-    return x.withColumn("role", F.when(block == F.col("premise"), "prompt").otherwise(F.col("role")))
+    premise = (F.col("type") == "true_false") & (F.col("s0") == F.col("c1")) & (block == F.col("premise"))
+    return x.withColumn("role", F.when(premise, "prompt").otherwise(role)).drop("premise")
 
 
 def segment_v2(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Rows of V2_COLUMNS: one per group, item (kind item) and question without a number (kind alone)."""
-    x = _roles(_grouped(classified(lines, strict)))
-    seg = Window.partitionBy("document_id", "seg")
-    order = seg.orderBy("block")
-    so_far, before, after = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    block, role, late = F.col("block"), F.col("role"), F.col("late")
+    # Lines are dealt out as they are, and what they are is found afterwards: less is shuffled, and the code that makes them and that which classifies them are
+    # compiled apart, as both in one method are too long for the JVM to compile. Texts of items, answers and solutions are taken from a line when its role is known.
+    x = _roles(_grouped(classified(lines.repartition("document_id"), strict)))
+    _, so_far, before = _group()
+    block, role, late, text = F.col("block"), F.col("role"), F.col("late"), F.col("text")
     asks = (role == "alone") & F.col("is_question")
-    x = x.withColumn("answers", F.sum((~late & (role == "answer")).cast("int")).over(so_far))
     # A question starts a new one if the last one was answered since it was asked.
-    asked = F.last(F.when(asks, F.col("answers")), ignorenulls=True).over(before)
-    x = x.withColumn("starts", F.coalesce(((role == "alone") & (block == F.col("s0"))) | (asks & (F.col("answers") > asked)), F.lit(False)))
-    x = x.withColumn("next_item", F.min(F.when(role == "item", block)).over(after)).withColumn("replaced", F.max(F.when(role == "overwrite", block)).over(seg))
+    x = x.withColumn("asked", F.last(F.when(asks, F.col("answers")), ignorenulls=True).over(before))
+    x = x.withColumn("starts", F.coalesce(((role == "alone") & (block == F.col("s0"))) | (asks & (F.col("answers") > F.col("asked"))), F.lit(False)))
+    x = x.withColumn("nth", F.sum(F.col("starts").cast("int")).over(so_far))
     x = x.withColumn("own", F.when(late, "item").when(role.isin("prompt", "overwrite"), "group").otherwise("alone"))
-    x = x.withColumn("place", F.when(late, F.sum((role == "item").cast("int")).over(so_far)).when(F.col("own") == "alone", F.sum(F.col("starts").cast("int")).over(so_far)).otherwise(0))
+    x = x.withColumn("place", F.when(late, F.col("items")).when(F.col("own") == "alone", F.col("nth")).otherwise(0))
     # The first line stands for its group too.
     both = F.when((block == F.col("c1")) & (F.col("own") != "group"), F.array(F.struct("own", "place"), F.struct(F.lit("group").alias("own"), F.lit(0).cast("long").alias("place")))).otherwise(F.array(F.struct("own", "place")))
     x = x.select("*", F.explode(both).alias("k")).select("*", F.col("k.own").alias("kind"), F.col("k.place").cast("int").alias("ordinal"))
     kind = F.col("kind")
+    taken = L.v2_fields(text, strict, cleaned=True)
     piece = (
-        F.when(kind == "group", F.when(role.isin("prompt", "overwrite") & F.coalesce(block >= F.col("replaced"), F.lit(True)), F.col("text")))
-        .when(role == "item", F.col("item_text")).when(role.isin("text", "alone"), F.col("text"))
+        F.when(kind == "group", F.when(role.isin("prompt", "overwrite") & F.coalesce(block >= F.col("replaced"), F.lit(True)), text))
+        .when(role == "item", taken["item_text"]).when(role.isin("text", "alone"), text)
     )
-    shown = (kind == "item") & role.isin("item", "text") & ~((F.col("g.type") == "riddle") & F.col("is_who") & (role == "text"))
+    shown = (kind == "item") & role.isin("item", "text") & ~((F.col("type") == "riddle") & F.col("is_who") & (role == "text"))
     in_order = lambda v: F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct("block", v.alias("v"))))), lambda y: y["v"])
-    last = lambda name: F.max_by(F.when(role == name, F.col(name)), F.when(role == name, block))
+    last = lambda name: F.max_by(name, F.when(role == name, block))
     begins = F.when((kind == "group") | (role == "item") | F.col("starts"), block)
-    rows = x.groupBy("document_id", "group", "kind", "ordinal").agg(
-        F.max(F.when(role == "item", F.col("item_number"))).alias("number"), F.array_join(in_order(piece), " ").alias("joined"), last("answer").alias("answer"), last("solution").alias("solution"),
-        F.flatten(in_order(F.when(shown, F.col("images")))).alias("images"), F.min(begins).alias("begins"), F.min(F.when(role == "item", F.coalesce(F.col("next_item") - 1, F.col("group_end")))).alias("ends"),
-        F.first("g").alias("g"), F.first("path_year").alias("year"), F.min("c1").alias("group_start"), F.max("group_end").alias("group_end"),
+    x = x.select("*", piece.alias("piece"), *(F.when(role == name, taken[name]).alias(name) for name in ("answer", "solution")), F.when(shown, F.col("images")).alias("shown"), begins.alias("begins"))
+    rows = x.groupBy("document_id", "seg", "kind", "ordinal").agg(
+        F.max(F.when(role == "item", F.col("item_number"))).alias("number"), F.array_join(in_order(F.col("piece")), " ").alias("joined"), last("answer").alias("answer"), last("solution").alias("solution"),
+        F.flatten(in_order(F.col("shown"))).alias("images"), F.min("begins").alias("begins"),
+        F.first(F.struct("type", "contest", "round", "subject")).alias("g"), F.first("path_year").alias("year"), F.min("c1").alias("group_start"), F.max("group_end").alias("group_end"),
     )
     kind, inner = F.col("kind"), F.col("kind") != "group"
-    prompt = F.max(F.when(kind == "group", F.nullif("joined", F.lit("")))).over(Window.partitionBy("document_id", "group"))
+    # Items come last in this order, so that what follows one is the next item.
+    order = Window.partitionBy("document_id", "seg").orderBy("kind", "ordinal")
+    prompt = F.max(F.when(kind == "group", F.nullif("joined", F.lit("")))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.select("*", prompt.alias("prompt"), F.coalesce(F.lead("begins").over(order) - 1, F.col("group_end")).alias("ends"))
+    rows = rows.withColumn("group", F.dense_rank().over(Window.partitionBy("document_id").orderBy("seg")))
     only = lambda condition, c: F.when(condition, F.col(c))
-    return rows.withColumn("prompt", prompt).select(
+    return rows.select(
         "document_id", "group", "kind", only(inner, "ordinal").alias("ordinal"), only(kind == "item", "number").alias("number"), only(inner, "joined").alias("question"), only(inner, "answer").alias("answer"), only(inner, "solution").alias("solution"),
         only(inner, "images").alias("images"), only(inner, "begins").alias("start_block"), only(kind == "item", "ends").alias("end_block"), F.col("g.type").alias("group_type"), "year",
         F.col("g.contest").alias("contest"), F.col("g.round").alias("round"), F.col("g.subject").alias("subject"), "prompt", "group_start", "group_end",

@@ -33,8 +33,8 @@ def sample_lines(spark: SparkSession) -> DataFrame:
 def paper_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, marked, and the sample lines."""
     lines = segment.text_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    block, text = F.col("block"), F.col("text")
-    m = F.pmod(F.col("document_id").cast("long") * 31 + block * 17, F.lit(PERIOD))
+    block, text, m = F.col("block"), F.col("text"), F.col("m")
+    lines = lines.withColumn("m", F.pmod(F.col("document_id").cast("long") * 31 + block * 17, F.lit(PERIOD)))
     label = F.element_at(F.array(*map(F.lit, LABELS)), block % 4 + 1)
     marked = F.when(m == 0, F.concat(F.lit("ROUND "), (1 + block % 5).cast("string"), label)).when(m == 1, F.concat(F.lit("CONTEST "), (block % 40).cast("string")))
     marked = marked.when(m == 2, F.when(block % 2 == 0, "PHYSICS").otherwise("Maths 2")).when(m.between(3, 5), F.concat((block % 9 + 1).cast("string"), F.lit(". "), text))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.text import TOKEN
-from lectern.operators import search
+from lectern.operators import search, segment
+from lectern.schemas import IMAGES
 
 TEXTS = ["b a b", "", None, "A a-a, A b2 ’ é zz zz zz", "zz", "…", "a " * 3000 + "b"]
 
@@ -42,3 +43,11 @@ def test_index_of_nothing(spark, docs, tmp_path):
     search.write_index(docs.limit(0), "doc_id", F.col("text"), path)
     assert spark.read.parquet(f"{path}/statistics").collect() == [(0, 0)]
     assert search.search_index(spark, path, "a b").collect() == []
+
+
+def test_no_window_goes_through_the_rest_of_a_document_for_each_line(spark):
+    """A frame from the next line to the last is computed anew for each line, with the square of a document's length."""
+    lines = spark.createDataFrame([("d", 1, "What?")], "document_id string, block int, text string").withColumn("images", F.expr(f"cast(array() as {IMAGES})"))
+    plan = segment.segment_v2(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "RowFrame, 1, unboundedfollowing" not in plan
+    assert plan.count("windowspecdefinition") and sum("Window [" in x for x in plan.splitlines()) <= 8
